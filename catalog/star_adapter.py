@@ -11,6 +11,22 @@ from pyspark.sql import functions as F
 
 from lanewise import Marketplace
 
+# Declared, so that opening a table does not run a job to read file footers.
+STAR_SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE,"
+    " c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT,"
+    " p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,"
+    " o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT,"
+    " l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE,"
+    " l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+}
+
 URGENT = "o_orderpriority IN ('1-URGENT', '2-HIGH')"
 PROMISE_DAYS = f"CASE WHEN {URGENT} THEN 4 ELSE 6 END"
 STATUS = """
@@ -118,7 +134,7 @@ def _shipments(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> Dat
 
 def star_market(spark: SparkSession, sf_dir: str) -> Marketplace:
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
     customer, nation, orders = table("customer"), table("nation"), table("orders")
     part = table("part")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lanewise.functions.columns import IN_TRANSIT, ON_TIME, rate
 
 FIRST_STATUS = "first_order_delay_status"
+DELAYED, OPEN = "Delayed", "Open"
 
 
 def delivered_history(orders: DataFrame, shipments: DataFrame) -> DataFrame:
@@ -38,23 +39,34 @@ def placed_history(orders: DataFrame, shipments: DataFrame) -> DataFrame:
 
 
 def first_and_next(history: DataFrame) -> DataFrame:
-    """Per customer: first event with its delivery status, and the next later event time.
+    """Per customer: time and outcome of the first event, and the next later event time.
 
-    Events at the same instant are merged first (the lowest order id names the status), so
-    that `next_at` is strictly later. The rank filter runs before the shuffle to the
-    customer: no customer sends more than two rows per map task.
+    Events at the same instant are merged first, so that `next_at` is strictly later; the
+    lowest order id names the outcome, found as the lowest id per outcome because that
+    aggregates in place. The rank filter runs before the shuffle to the customer: no
+    customer sends more than two rows per map task.
     """
-    instants = history.groupBy("customer_id", "event_at").agg(
-        F.min(F.struct("order_id", "delivery_status"))["delivery_status"].alias("status")
-    )
+    status, order_id = F.col("delivery_status"), F.col("order_id")
+    is_open = status.isNull() | (status == IN_TRANSIT)
+    lowest = {
+        ON_TIME: F.min(F.when(status == ON_TIME, order_id)),
+        DELAYED: F.min(F.when(~is_open & (status != ON_TIME), order_id)),
+        OPEN: F.min(F.when(is_open, order_id)),
+    }
     by_time = Window.partitionBy("customer_id").orderBy("event_at")
+    first_id = F.least(*lowest)
+    outcome = F.coalesce(
+        *[F.when(F.col(name) == first_id, F.lit(name)) for name in lowest]
+    )
     return (
-        instants.withColumn("rn", F.row_number().over(by_time))
+        history.groupBy("customer_id", "event_at")
+        .agg(*[low.alias(name) for name, low in lowest.items()])
+        .withColumn("rn", F.row_number().over(by_time))
         .filter(F.col("rn") <= 2)
         .groupBy("customer_id")
         .agg(
             F.min("event_at").alias("first_at"),
-            F.max(F.when(F.col("rn") == 1, F.col("status"))).alias("first_status"),
+            F.max(F.when(F.col("rn") == 1, outcome)).alias("first_outcome"),
             F.max(F.when(F.col("rn") == 2, F.col("event_at"))).alias("next_at"),
         )
     )
@@ -75,17 +87,14 @@ def cohort_members(
     """
     last_event = history.agg(F.max("event_at")).scalar()
     window_end = F.col("first_at") + _days(window_days)
-    status = F.col("first_status")
+    outcome = F.col("first_outcome")
     return (
         first_and_next(history)
         .filter(window_end <= last_event)
         .select(
             "customer_id",
             "first_at",
-            F.when(status == ON_TIME, F.lit("OnTime"))
-            .when(status.isNull() | (status == IN_TRANSIT), F.lit(open_outcome))
-            .otherwise(F.lit("Delayed"))
-            .alias(FIRST_STATUS),
+            F.when(outcome == OPEN, F.lit(open_outcome)).otherwise(outcome).alias(FIRST_STATUS),
             F.coalesce(F.col("next_at") <= window_end, F.lit(False)).alias("repeated"),
         )
     )
