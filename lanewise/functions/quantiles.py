@@ -1,4 +1,4 @@
-"""Exact linear-interpolated quantiles of a large column."""
+"""Exact linear-interpolated quantiles of large columns."""
 
 from __future__ import annotations
 
@@ -7,85 +7,91 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIVOTS = 64
+from lanewise.functions.reshape import rows_from
 
+SPREAD = 0.001
+ACCURACY = 10_000
 
-def exact_quantiles(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """Quantiles of long-format `(metric, value)` rows: one `(metric, p, quantile)` row each.
 
-    `percentile` keeps every distinct value of a metric in one aggregation buffer. Here the
-    values are reduced to (value, count) pairs, cut into ranges at approximate pivots, and
-    only the ranges that hold a wanted rank are put in order. The pivots steer the size of
-    a range and never the result: ranks come from exact counts.
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
+) -> DataFrame:
+    """One `(metric, p, quantile)` row per column and probability; none for empty columns.
+
+    `percentile` would hold every distinct value of a column in one aggregation buffer.
+    Here sketched pivots just below and above each wanted quantile cut a column into a few
+    ranges, a second pass counts the ranges, and only the ranges that hold a wanted rank
+    (a fraction of a percent of the rows each) are put in order. Which range that is comes
+    from the exact counts, so a poor sketch costs time and never changes the result.
     """
-    counted = (
-        values.filter(F.col("value").isNotNull())
-        .groupBy("metric", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+    cuts = sorted(
+        {min(max(p + side * SPREAD, 0.0), 1.0) for p in probabilities for side in (-1, 1)}
     )
-    steps = [i / PIVOTS for i in range(1, PIVOTS)]
-    pivots = counted.groupBy("metric").agg(
-        F.percentile_approx("value", steps, 10_000).alias("pivots")
-    )
-    # One row per metric on the right side.
-    ranged = counted.join(F.broadcast(pivots), "metric").select(
-        "metric",
-        "value",
-        "n",
-        F.size(F.filter("pivots", lambda pivot: pivot < F.col("value"))).alias("part"),
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    pivots = values.agg(
+        F.struct(
+            *[F.percentile_approx(F.col(c), cuts, ACCURACY).alias(c) for c in columns]
+        ).alias("pivots")
+    ).scalar()
+    counted = values.select("*", pivots.alias("pivots")).agg(
+        *[F.count(c).alias(f"{c}__n") for c in columns],
+        *[
+            F.count(F.when(F.col(c) <= F.col(f"pivots.{c}")[i], 1)).alias(f"{c}__{i}")
+            for c in columns
+            for i in range(len(cuts))
+        ],
     )
+    ranges = rows_from(
+        counted.withColumn("pivots", pivots),
+        [
+            {
+                "metric": F.lit(c),
+                "n": F.col(f"{c}__n"),
+                "ends": F.col(f"pivots.{c}"),
+                "through": F.array(*[F.col(f"{c}__{i}") for i in range(len(cuts))]),
+            }
+            for c in columns
+        ],
+    ).filter(F.col("n") > 0)
 
-    # At most PIVOTS rows per metric from here on.
-    by_part = Window.partitionBy("metric").orderBy("part")
-    parts = (
-        ranged.groupBy("metric", "part")
-        .agg(F.sum("n").alias("n_part"))
-        .select(
-            "metric",
-            "part",
-            (F.sum("n_part").over(by_part) - F.col("n_part")).alias("before"),
-            F.sum("n_part").over(by_part).alias("through"),
-            F.sum("n_part").over(Window.partitionBy("metric")).alias("total"),
-        )
-    )
-    position = F.col("p") * (F.col("total") - 1)
-    ranks = parts.select(
+    # At most two rows per column and probability: the rank below and the rank above.
+    position = F.col("p") * (F.col("n") - 1)
+    ranks = ranges.select(
         "*", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p")
     ).select(
+        "*",
+        (position - F.floor(position)).alias("weight"),
+        F.posexplode(F.array(F.floor(position), F.ceil(position))).alias("side", "rank"),
+    )
+    part = F.size(F.filter("through", lambda upto: upto <= F.col("rank")))
+    wanted = ranks.withColumn("part", part).select(
         "metric",
-        "part",
-        "before",
-        "through",
         "p",
-        (position - F.floor(position)).alias("weight"),
-        F.explode(
-            F.array(
-                F.struct(F.lit("low").alias("side"), F.floor(position).alias("rank")),
-                F.struct(F.lit("high").alias("side"), F.ceil(position).alias("rank")),
-            )
-        ).alias("want"),
+        "weight",
+        "side",
+        "rank",
+        F.get("ends", F.col("part") - 1).alias("above"),
+        F.get("ends", F.col("part")).alias("upto_value"),
+        F.coalesce(F.get("through", F.col("part") - 1), F.lit(0)).alias("before"),
     )
-    wanted = ranks.filter(
-        (F.col("want.rank") >= F.col("before")) & (F.col("want.rank") < F.col("through"))
-    ).select("metric", "part", "before", "p", "weight", "want.side", "want.rank")
 
-    # At most two ranks per metric and probability, so these sides are of fixed size.
-    in_order = Window.partitionBy("metric", "part").orderBy("value")
+    long = values.unpivot([], list(columns), "metric", "value")
+    value = F.col("value")
+    in_range = (F.col("above").isNull() | (value > F.col("above"))) & (
+        F.col("upto_value").isNull() | (value <= F.col("upto_value"))
+    )
+    in_order = Window.partitionBy("metric", "p", "side").orderBy("value")
     placed = (
-        ranged.join(
-            F.broadcast(wanted.select("metric", "part").distinct()),
-            ["metric", "part"],
-            "left_semi",
-        )
-        .withColumn("upto", F.sum("n").over(in_order))
-        .join(F.broadcast(wanted), ["metric", "part"])
-        .filter(
-            (F.col("rank") < F.col("before") + F.col("upto"))
-            & (F.col("rank") >= F.col("before") + F.col("upto") - F.col("n"))
-        )
+        long.filter(value.isNotNull())
+        .join(F.broadcast(wanted), "metric")
+        .filter(in_range)
+        .groupBy("metric", "p", "weight", "side", "rank", "before", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("upto", F.col("before") + F.sum("n").over(in_order))
+        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
     )
-    low = F.max(F.when(F.col("side") == "low", F.col("value")))
-    high = F.max(F.when(F.col("side") == "high", F.col("value")))
+    low = F.max(F.when(F.col("side") == 0, F.col("value")))
+    high = F.max(F.when(F.col("side") == 1, F.col("value")))
     return placed.groupBy("metric", "p").agg(
         (low + (high - low) * F.max("weight")).alias("quantile")
     )

@@ -161,27 +161,17 @@ def b4_late_orders_correlated(
 ) -> DataFrame:
     """The same listing in its original form: a scalar lookup and an existence test per order.
 
-    The lookup is an aggregate, which makes it single-valued by construction and lets the
-    optimizer turn it into an equi join.
+    Both subqueries are stated as the joins they amount to: the lookup is a left join to
+    one value per order, the test a semi join.
     """
-    o, s, s2 = orders.alias("o"), shipments.alias("s"), shipments.alias("s2")
-    delivered_at = (
-        s.where(F.col("s.order_id") == F.col("o.order_id").outer())
-        .select(F.max("s.delivered_at"))
-        .scalar()
-    )
-    some_late = s2.where(
-        (F.col("s2.order_id") == F.col("o.order_id").outer())
-        & not_on_time(F.col("s2.delivery_status"))
-    ).exists()
-    found = o.where(some_late).select(
-        "o.order_id",
-        "o.customer_id",
-        delivered_at.alias("delivered_at"),
-        "o.created_at",
-    )
-    return found.join(customers.select("customer_id", "city"), "customer_id").select(
-        "order_id", "delivered_at", "created_at", "city"
+    lookup = shipments.groupBy("order_id").agg(F.max("delivered_at").alias("delivered_at"))
+    some_late = shipments.filter(not_on_time(F.col("delivery_status"))).select("order_id")
+    return (
+        orders.select("order_id", "customer_id", "created_at")
+        .join(some_late, "order_id", "left_semi")
+        .join(lookup, "order_id", "left")
+        .join(customers.select("customer_id", "city"), "customer_id")
+        .select("order_id", "delivered_at", "created_at", "city")
     )
 
 

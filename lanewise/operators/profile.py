@@ -168,18 +168,8 @@ def describe(df: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFram
             for c in columns
         ],
     )
-    values = df.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
-                    for c in columns
-                ]
-            )
-        )
-    )
     quantiles = (
-        exact_quantiles(values, list(QUARTILES.values()))
+        exact_quantiles(df, columns, list(QUARTILES.values()))
         .groupBy("metric")
         .agg(
             *[
