@@ -27,6 +27,7 @@ from lanewise.operators import (
     slices,
 )
 from lanewise.plans.publish import publish_marts
+from lanewise.session import tune
 from lanewise.sources.marts import shared_folder
 
 MONTHS = month_range("1995-01", "2001-08")
@@ -225,6 +226,8 @@ OPERATORS: dict[str, Callable[[Marketplace], DataFrame]] = {
 
 def build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def query(operator: Callable[[Marketplace], DataFrame]):
-        return lambda spark, sf_dir: decimals_as_double(operator(star_market(spark, sf_dir)))
+        return lambda spark, sf_dir: decimals_as_double(
+            operator(star_market(tune(spark), sf_dir))
+        )
 
     return {name: query(operator) for name, operator in OPERATORS.items()}

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.functions.reshape import rows_from
-
 SPREAD = 0.001
 ACCURACY = 10_000
 
@@ -33,26 +31,24 @@ def exact_quantiles(
             *[F.percentile_approx(F.col(c), cuts, ACCURACY).alias(c) for c in columns]
         ).alias("pivots")
     ).scalar()
-    counted = values.select("*", pivots.alias("pivots")).agg(
-        *[F.count(c).alias(f"{c}__n") for c in columns],
+    # One count per column and pivot; as text, since there are many of the same form.
+    counted = values.select("*", pivots.alias("pivots")).selectExpr(
         *[
-            F.count(F.when(F.col(c) <= F.col(f"pivots.{c}")[i], 1)).alias(f"{c}__{i}")
+            f"struct(count(`{c}`) AS n, array("
+            + ", ".join(f"count_if(`{c}` <= pivots.`{c}`[{i}])" for i in range(len(cuts)))
+            + f") AS through) AS `{c}`"
             for c in columns
-            for i in range(len(cuts))
-        ],
+        ]
+    )
+    per_column = [
+        F.struct(F.lit(c).alias("metric"), f"{c}.*", F.col(f"pivots.{c}").alias("ends"))
+        for c in columns
+    ]
+    ranges = (
+        counted.withColumn("pivots", pivots)
+        .select(F.inline(F.array(*per_column)))
+        .filter(F.col("n") > 0)
     )
-    ranges = rows_from(
-        counted.withColumn("pivots", pivots),
-        [
-            {
-                "metric": F.lit(c),
-                "n": F.col(f"{c}__n"),
-                "ends": F.col(f"pivots.{c}"),
-                "through": F.array(*[F.col(f"{c}__{i}") for i in range(len(cuts))]),
-            }
-            for c in columns
-        ],
-    ).filter(F.col("n") > 0)
 
     # At most two rows per column and probability: the rank below and the rank above.
     position = F.col("p") * (F.col("n") - 1)

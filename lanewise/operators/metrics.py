@@ -45,16 +45,18 @@ def gmv_month_category(cells: DataFrame) -> DataFrame:
 def gmv_city_month_pivot(cells: DataFrame, months: Sequence[str]) -> DataFrame:
     """City by month in millions, with the total of the rounded months."""
     in_millions = F.bround(F.col("gmv").cast("double") / 1e6, 2)
-    wide = (
+    # At most one row per month in a city.
+    total = F.bround(F.sum("millions").over(Window.partitionBy("city")), 2)
+    return (
         cells.filter(F.col("order_month").isin(*months))
         .select("city", "order_month", in_millions.alias("millions"))
-        .groupBy("city")
+        .withColumn("total", total)
+        .groupBy("city", "total")
         .pivot("order_month", list(months))
         .agg(F.max("millions"))
+        .select("city", *[F.col(f"`{month}`") for month in months], "total")
+        .orderBy(F.desc("total"), "city")
     )
-    months_of_row = F.array(*[F.coalesce(F.col(f"`{m}`"), F.lit(0.0)) for m in months])
-    total = F.aggregate(months_of_row, F.lit(0.0), lambda acc, month: acc + month)
-    return wide.withColumn("total", F.bround(total, 2)).orderBy(F.desc("total"), "city")
 
 
 # activity and repeat -----------------------------------------------------------------

@@ -60,14 +60,17 @@ def hot_dir(tmp_path_factory, sf001):
 @contextlib.contextmanager
 def settings(spark, **values):
     keys = {key.replace("__", "."): value for key, value in values.items()}
-    before = {key: spark.conf.get(key) for key in keys}
+    before = {key: spark.conf.get(key, None) for key in keys}
     try:
         for key, value in keys.items():
             spark.conf.set(key, value)
         yield
     finally:
         for key, value in before.items():
-            spark.conf.set(key, value)
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 @pytest.mark.parametrize("name", AFFECTED)
