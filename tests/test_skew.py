@@ -118,6 +118,14 @@ def test_city_is_joined_after_the_orders_are_summed(spark, sf001):
     assert join < summed
 
 
+def test_both_sides_of_the_line_join_have_their_own_shuffle(spark, sf001):
+    """The runtime splits a skewed partition only where a join reads two shuffles."""
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        plan = plan_of(star_market(spark, sf001).dashboard_lines)
+    exchanges = [l for l in plan.splitlines() if "Exchange hashpartitioning(order_id" in l]
+    assert sum("order_hash" in line for line in exchanges) == 2
+
+
 def test_date_filter_reaches_the_scan(spark, sf001):
     from catalog.spark_queries import OPERATORS
 
