@@ -127,11 +127,6 @@ def rate(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
-def flag(condition: Column) -> Column:
-    """1 where the condition holds, else 0; nulls count as 0."""
-    return F.when(condition, 1).otherwise(0)
-
-
 def count_where(condition: Column) -> Column:
     """COUNT of rows where the condition holds."""
     return F.count(F.when(condition, F.lit(1)))

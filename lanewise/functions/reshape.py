@@ -29,7 +29,7 @@ def value_with_text(columns: Sequence[str], name: str, value: str) -> Column:
 
 
 def roll_up_dimensions(
-    df: DataFrame, dimensions: Sequence[str], sums: Sequence[str], keep_null: bool = False
+    df: DataFrame, dimensions: Sequence[str], sums: Sequence[str]
 ) -> DataFrame:
     """`(dimension, value, sums...)` for each dimension from one pass over `df`.
 
@@ -38,6 +38,5 @@ def roll_up_dimensions(
     """
     cells = df.groupBy(*dimensions).agg(*[F.sum(s).alias(s) for s in sums])
     long = cells.select(*sums, value_with_text(dimensions, "dimension", "value"))
-    if not keep_null:
-        long = long.filter(F.col("value").isNotNull())
-    return long.groupBy("dimension", "value").agg(*[F.sum(s).alias(s) for s in sums])
+    named = long.filter(F.col("value").isNotNull())
+    return named.groupBy("dimension", "value").agg(*[F.sum(s).alias(s) for s in sums])

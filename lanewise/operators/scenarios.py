@@ -12,7 +12,6 @@ from lanewise.functions.columns import (
     ON_TIME,
     days_between,
     is_on_time,
-    rate,
     share_where,
 )
 from lanewise.functions.reshape import rows_from
