@@ -103,12 +103,13 @@ capped AS (
   SELECT *, 3 * source_size AS cap,
          CAST(sum(source_size) OVER () AS BIGINT) AS total,
          CAST(coalesce(sum(3 * source_size) OVER lower, 0) AS BIGINT) AS clamped,
-         CAST(sum(weight) OVER () - coalesce(sum(weight) OVER lower, 0) AS BIGINT) AS open_weight
+         CAST(sum(weight) OVER () - coalesce(sum(weight) OVER lower, 0) AS BIGINT) AS open_weight,
+         row_number() OVER (ORDER BY 3 * source_size / weight, source NULLS LAST) AS place
   FROM sources
   WINDOW lower AS (ORDER BY 3 * source_size / weight, source NULLS LAST
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 level AS (
-  SELECT min((total - clamped) / open_weight) AS level FROM capped
+  SELECT min_by((total - clamped) / open_weight, place) AS level FROM capped
   WHERE (total - clamped) / open_weight * weight <= cap),
 targets AS (
   SELECT source, source_size,
