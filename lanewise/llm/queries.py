@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm import decontaminate, langid, mixing, simhash, token_store
+from lanewise.llm import decontaminate, langid, mixing, quality_rules, simhash, token_store
 from lanewise.llm.common import held_out
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,6 +38,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Which rule rejects first depends on the measured order, so it is left out.
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -60,6 +65,46 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP7_SQL = rf"""
+WITH
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         coalesce({_WORDS.format("text")}, []) AS w
+  FROM documents),
+windows AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n
+  FROM docs, unnest(range(1, len(w) - 1)) AS s(i)),
+repeated AS (
+  SELECT r, count(DISTINCT p) AS n FROM windows, unnest(range(i, i + 3)) AS u(p) WHERE n > 1 GROUP BY r),
+lines AS (
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup
+  FROM docs, unnest(string_split(text, chr(10))) AS u(line)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+words AS (SELECT r, word, count(*) AS n FROM docs, unnest(w) AS u(word) GROUP BY r, word),
+by_word AS (
+  SELECT r, max(n) AS most,
+         sum(CASE WHEN regexp_matches(word, '[A-Za-z]|[^\x00-\x7F]') THEN 0 ELSE n END) AS without_letters
+  FROM words GROUP BY r),
+counts AS (
+  SELECT doc_id, len(w) AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+         coalesce(n_dup, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words,
+         length(text) - length(replace(text, '!', '')) AS marks,
+         length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS capitals,
+         length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS letters,
+         coalesce(n_lines, 0) AS n_lines, most, without_letters
+  FROM docs LEFT JOIN repeated USING (r) LEFT JOIN lines USING (r) LEFT JOIN by_word USING (r)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+       CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 10 * marks > n_words
+            OR word_chars NOT BETWEEN 3 * n_words AND 10 * n_words OR 10 * capitals > 3 * letters
+            OR 2 * n_dup_lines > n_lines OR 5 * without_letters > n_words OR 4 * most > n_words) AS kept
+FROM judged
+"""
+
 OP9_SQL = rf"""
 WITH
 item_words AS (
@@ -137,10 +182,11 @@ def build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_language_id,
         op4_token_store,
         op5_simhash,
+        op7_quality_rules,
         op9_decontaminate,
         op10_mix_sources,
     )}
 
 
 def build_oracle() -> dict[str, str]:
-    return {"op9_decontaminate": OP9_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op7_quality_rules": OP7_SQL, "op9_decontaminate": OP9_SQL, "op10_mix_sources": OP10_SQL}
