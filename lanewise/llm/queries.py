@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm import decontaminate, langid, mixing, quality_rules, simhash, token_store
+from lanewise.llm import decontaminate, langid, mixing, quality_model, quality_rules, simhash, token_store
 from lanewise.llm.common import held_out
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", "predicted")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.train(docs))
@@ -179,6 +185,7 @@ FROM keyed k JOIN rates r ON k.source IS NOT DISTINCT FROM r.source
 
 def build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
+        op2_quality,
         op3_language_id,
         op4_token_store,
         op5_simhash,
