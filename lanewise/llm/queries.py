@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm import decontaminate, langid, mixing, quality_model, quality_rules, simhash, token_store
+from lanewise.llm import decontaminate, langid, mixing, pii, quality_model, quality_rules, simhash, token_store
 from lanewise.llm.common import held_out
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    base = F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256")
+    return rows.select("doc_id", *counts, base, pii.joined(F.col("spans")).alias("spans"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
@@ -185,6 +192,7 @@ FROM keyed k JOIN rates r ON k.source IS NOT DISTINCT FROM r.source
 
 def build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
+        op1_personal_data,
         op2_quality,
         op3_language_id,
         op4_token_store,
