@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm import decontaminate, langid, mixing, pii, quality_model, quality_rules, simhash, token_store
+from lanewise.llm import decontaminate, langid, mixing, pii, quality_model, quality_rules, simhash, substrings, token_store
 from lanewise.llm.common import held_out
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -51,6 +51,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Which rule rejects first depends on the measured order, so it is left out.
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
@@ -197,6 +202,7 @@ def build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_language_id,
         op4_token_store,
         op5_simhash,
+        op6_substrings,
         op7_quality_rules,
         op9_decontaminate,
         op10_mix_sources,
