@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm import decontaminate, langid, mixing, pii, quality_model, quality_rules, simhash, substrings, token_store
+from lanewise.llm import (
+    decontaminate,
+    langid,
+    language_model,
+    mixing,
+    pii,
+    quality_model,
+    quality_rules,
+    simhash,
+    substrings,
+    token_store,
+)
 from lanewise.llm.common import held_out
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,6 +72,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -204,6 +219,7 @@ def build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_simhash,
         op6_substrings,
         op7_quality_rules,
+        op8_language_model,
         op9_decontaminate,
         op10_mix_sources,
     )}
