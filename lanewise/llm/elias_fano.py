@@ -70,10 +70,10 @@ class EliasFano:
         x = np.asarray(x, np.uint64)
         if not self.n:
             return np.zeros(len(x), np.int64)
-        part = (x >> np.uint64(8 * self.low_bytes)).astype(np.int64)
-        last = int(self.zeros[-1]) - 1
+        part = x >> np.uint64(8 * self.low_bytes)
+        last = np.uint64(self.zeros[-1] - 1)
         inside = part <= last
-        part = np.minimum(part, last)
+        part = np.minimum(part, last).astype(np.int64)
         start = np.where(part > 0, self._select(np.maximum(part - 1, 0), False) - (part - 1), 0)
         end = np.minimum(self._select(part, False) - part, self.n)
         start, stop = np.where(inside, np.minimum(start, end), self.n), np.where(inside, end, self.n)
