@@ -11,8 +11,7 @@ import json
 import os
 import time
 
-from catalog.spark_queries import MONTHS
-from catalog.star_adapter import BROKEN_LANES, CARRIERS, star_market
+from catalog.star_adapter import BROKEN_LANES, star_market
 from lanewise import Marketplace
 from lanewise.operators import (
     cohorts,
@@ -48,7 +47,7 @@ def headline(m: Marketplace, lines, orders, ships) -> dict:
         "dashboard_lines": lambda: m.dashboard_lines,
         "gmv_month_city_category": lambda: m.gmv_cells,
         "gmv_city_month_pivot": lambda: metrics.gmv_city_month_pivot(
-            metrics.gmv_month_city(m.gmv_cells), MONTHS
+            metrics.gmv_month_city(m.gmv_cells)
         ),
         "b1_city_month_metrics": lambda: metrics.b1_city_month_metrics(m.activity, m.customers),
         "b2_first_delay_repeat": lambda: cohorts.b2_first_delay_repeat(m.delivered_history),
@@ -64,7 +63,7 @@ def headline(m: Marketplace, lines, orders, ships) -> dict:
         "repeat_rate_month": lambda: metrics.repeat_rate_month(
             metrics.customer_month_activity(orders)
         ),
-        "delay_city_carrier_pivot": lambda: metrics.delay_city_carrier_pivot(ships, CARRIERS),
+        "delay_city_carrier_pivot": lambda: metrics.delay_city_carrier_pivot(ships),
         "scenario_lanes": lambda: scenarios.scenario_lanes(flags()),
         "scenario_summary": lambda: scenarios.scenario_summary(flags(), BROKEN_LANES),
         "kpi_strip": lambda: slices.kpi_strip(lines),

@@ -40,3 +40,18 @@ def roll_up_dimensions(
     long = cells.select(*sums, value_with_text(dimensions, "dimension", "value"))
     named = long.filter(F.col("value").isNotNull())
     return named.groupBy("dimension", "value").agg(*[F.sum(s).alias(s) for s in sums])
+
+
+def domain(df: DataFrame, column: str, listed: Sequence | None = None) -> list:
+    """The distinct values of a column in order, for the columns of a pivot.
+
+    Nulls are no column. A list fixes the order and may hold further values, but every value
+    found must be in it: a pivot drops unlisted values without a word.
+    """
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
+    values = sorted(row[0] for row in found)
+    if listed is None:
+        return values
+    if missing := [value for value in values if value not in set(listed)]:
+        raise ValueError(f"{column}: values that are not listed: {missing}")
+    return list(listed)

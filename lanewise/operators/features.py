@@ -240,9 +240,9 @@ def status_by_has_shipment(orders: DataFrame) -> DataFrame:
     )
 
 
-def promised_days_by_fast(orders: DataFrame, k: int = 10) -> DataFrame:
-    """Most frequent promise lengths per fast-delivery flag, first `k` rows."""
-    return (
+def promised_days_by_fast(orders: DataFrame, k: int | None = None) -> DataFrame:
+    """Promise lengths per fast-delivery flag by frequency; with `k` only the first rows."""
+    counts = (
         orders.select(
             "is_fast_delivery_eligible",
             days_between(F.col("promised_delivery_date"), F.col("created_at")).alias(
@@ -252,8 +252,8 @@ def promised_days_by_fast(orders: DataFrame, k: int = 10) -> DataFrame:
         .groupBy("is_fast_delivery_eligible", "promised_days")
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy("is_fast_delivery_eligible", F.desc("n"), "promised_days")
-        .limit(k)
     )
+    return counts if k is None else counts.limit(k)
 
 
 def features_null_audit(orders: DataFrame) -> DataFrame:

@@ -13,12 +13,12 @@ from lanewise.functions.columns import count_where
 def _orphans(check: str, child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Rows of `child` whose key is not in `parent`.
 
-    Rows are counted per key before the join, so a key that fills much of the table
-    enters it as one row.
+    Rows are counted per key before the join and the parent's keys are made distinct, so a
+    key that fills much of either table enters the join as one row.
     """
     per_key = child.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return (
-        per_key.join(parent.select(key), key, "left_anti")
+        per_key.join(parent.select(key).distinct(), key, "left_anti")
         .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
         .select(F.lit(check).alias("check_name"), "n")
     )
@@ -48,7 +48,7 @@ def integrity_fk_orphans(
 
 def integrity_unshipped_by_status(orders: DataFrame, shipments: DataFrame) -> DataFrame:
     return (
-        orders.join(shipments.select("order_id"), "order_id", "left_anti")
+        orders.join(shipments.select("order_id").distinct(), "order_id", "left_anti")
         .groupBy("status")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -15,6 +15,7 @@ from lanewise.functions.columns import (
     month_text,
     rate,
 )
+from lanewise.functions.reshape import domain
 
 # GMV ---------------------------------------------------------------------------------
 
@@ -42,14 +43,17 @@ def gmv_month_category(cells: DataFrame) -> DataFrame:
     return cells.groupBy("order_month", "category").agg(F.sum("gmv").alias("gmv"))
 
 
-def gmv_city_month_pivot(cells: DataFrame, months: Sequence[str]) -> DataFrame:
-    """City by month in millions, with the total of the rounded months."""
+def gmv_city_month_pivot(cells: DataFrame, months: Sequence[str] | None = None) -> DataFrame:
+    """City by month in millions, with the total of the rounded months.
+
+    Without a list the months are those of the cells; a list must name all of them.
+    """
+    months = domain(cells, "order_month", months)
     in_millions = F.bround(F.col("gmv").cast("double") / 1e6, 2)
     # At most one row per month in a city.
     total = F.bround(F.sum("millions").over(Window.partitionBy("city")), 2)
     return (
-        cells.filter(F.col("order_month").isin(*months))
-        .select("city", "order_month", in_millions.alias("millions"))
+        cells.select("city", "order_month", in_millions.alias("millions"))
         .withColumn("total", total)
         .groupBy("city", "total")
         .pivot("order_month", list(months))
@@ -212,12 +216,17 @@ def delay_city_carrier(shipments: DataFrame) -> DataFrame:
     return delay_rates(shipments, "ship_to_city", "carrier")
 
 
-def delay_city_carrier_pivot(shipments: DataFrame, carriers: Sequence[str]) -> DataFrame:
-    """Delay rate matrix, city by carrier; null where the carrier has no shipment."""
+def delay_city_carrier_pivot(
+    shipments: DataFrame, carriers: Sequence[str] | None = None
+) -> DataFrame:
+    """Delay rate matrix, city by carrier; null where the carrier has no shipment.
+
+    Without a list the carriers are those of the shipments; a list must name all of them.
+    """
+    rates = delay_rates(shipments, "ship_to_city", "carrier", digits=3)
     return (
-        delay_rates(shipments, "ship_to_city", "carrier", digits=3)
-        .groupBy("ship_to_city")
-        .pivot("carrier", list(carriers))
+        rates.groupBy("ship_to_city")
+        .pivot("carrier", domain(rates, "carrier", carriers))
         .agg(F.max("delayed_rate"))
     )
 

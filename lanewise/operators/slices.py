@@ -25,7 +25,7 @@ from lanewise.functions.columns import (
     rate,
     severity,
 )
-from lanewise.functions.reshape import roll_up_dimensions
+from lanewise.functions.reshape import domain, roll_up_dimensions
 
 LANE = ("carrier", "ship_to_city")
 
@@ -264,15 +264,22 @@ def lane_grid(lines: DataFrame) -> DataFrame:
     )
 
 
-def lane_grid_pivot(lines: DataFrame, cities: Sequence[str]) -> DataFrame:
-    """The grid with one row per carrier: rates null and orders 0 where there is no volume."""
+def lane_grid_pivot(lines: DataFrame, cities: Sequence[str] | None = None) -> DataFrame:
+    """The grid with one row per carrier: rates null and orders 0 where there is no volume.
+
+    Without a list the cities are those of the grid; a list must name all of them.
+    """
+    grid = lane_grid(lines)
+    cities = domain(grid, "ship_to_city", cities)
     wide = (
-        lane_grid(lines)
-        .groupBy("carrier")
-        .pivot("ship_to_city", list(cities))
+        grid.groupBy("carrier")
+        .pivot("ship_to_city", cities)
         .agg(F.max("delayed_rate").alias("rate"), F.max("orders").alias("orders"))
     )
-    return wide.fillna(0, subset=[f"{city}_orders" for city in cities])
+    # Names in back quotes: a dot in a city is no field access.
+    orders = [F.coalesce(F.col(f"`{c}_orders`"), F.lit(0)).alias(f"{c}_orders") for c in cities]
+    rates = [F.col(f"`{c}_rate`") for c in cities]
+    return wide.select("carrier", *[column for pair in zip(rates, orders) for column in pair])
 
 
 def worst_lanes(lines: DataFrame, min_orders: int = 100, k: int = 10) -> DataFrame:

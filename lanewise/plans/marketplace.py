@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lanewise.operators import cohorts, features, metrics, scenarios
 from lanewise.schemas import TABLES, require_columns
+from lanewise.session import tune
 from lanewise.sources.readers import read_tables
 
 
@@ -33,8 +34,9 @@ class Marketplace:
             require_columns(getattr(self, name), schema.names, name)
 
     @classmethod
-    def read(cls, spark: SparkSession, root: str, fmt: str = "parquet") -> Marketplace:
-        return cls(**read_tables(spark, root, fmt))
+    def read(cls, spark: SparkSession, root: str, fmt: str = "parquet", **options) -> Marketplace:
+        """Tables as `read_tables` reads them, in a session set up for hot keys."""
+        return cls(**read_tables(tune(spark), root, fmt, **options))
 
     @property
     def tables(self) -> dict[str, DataFrame]:

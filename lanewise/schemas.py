@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(12, 2)
@@ -76,6 +77,38 @@ PROMISE_SUMMARY = _table(
 )
 
 
+#: Scale of decimals that come as text or floating point, which have no scale of their own.
+READ_SCALE = 6
+
+
+def read_as(raw: DataFrame, field: T.StructField, key_type: T.DataType | None = None) -> Column:
+    """A source column in its declared type, without loss.
+
+    Keys take `key_type`, or keep their own type if that is None. Decimals keep their own
+    scale; from text or floating point they get READ_SCALE digits, and a value with more
+    digits is an error.
+    """
+    column, found, wanted = raw[field.name], raw.schema[field.name].dataType, field.dataType
+    if field.name.endswith("_id"):
+        wanted = key_type or found
+    elif isinstance(wanted, T.DecimalType):
+        if isinstance(found, T.DecimalType):
+            return column.alias(field.name)
+        wide = T.DecimalType(wanted.precision - wanted.scale + READ_SCALE, READ_SCALE)
+        exact = column if isinstance(found, T.NumericType) else column.cast("decimal(38,18)")
+        lost = F.raise_error(
+            F.concat(F.lit(f"{field.name}: more digits than can be kept: "), column.cast("string"))
+        )
+        same = column.isNull() | (column.cast(wide).cast(exact_type(found)) == exact)
+        return F.when(same, column.cast(wide)).otherwise(lost.cast(wide)).alias(field.name)
+    return column.cast(wanted).alias(field.name)
+
+
+def exact_type(found: T.DataType) -> T.DataType:
+    """The type in which a decimal is compared with the value that it was read from."""
+    return found if isinstance(found, T.NumericType) else T.DecimalType(38, 18)
+
+
 def require_columns(df: DataFrame, columns: Iterable[str], name: str) -> DataFrame:
     """Return `df`, or raise with the missing column names."""
     missing = [column for column in columns if column not in df.columns]

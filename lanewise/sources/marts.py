@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import posixpath
-import tempfile
 import uuid
 from collections.abc import Iterable
 from functools import reduce
@@ -13,13 +12,10 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder under the cluster's checkpoint folder, so that every executor sees it.
-
-    A machine-local folder is used only where the session names none (local tests).
-    """
+    """A new folder under the cluster's checkpoint folder, so that every executor sees it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="lanewise-")
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return posixpath.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 

@@ -6,29 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from lanewise.schemas import TABLES, require_columns
+from lanewise.schemas import TABLES, read_as, require_columns
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv_table(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    key_type: T.DataType = T.LongType(),
+    multi_line: bool = False,
+) -> DataFrame:
     """CSV with a header row. Columns are matched by header name; a missing one is an error.
 
-    Extra columns in the file are ignored, as is their order.
+    Extra columns in the file are ignored, as is their order. A doubled quote inside a quoted
+    field is one quote. Fields with line breaks need `multi_line`, which keeps Spark from
+    splitting a file. `key_type` is that of all ids, for example text.
     """
-    raw = spark.read.option("header", True).csv(path)
+    options = {"header": True, "escape": '"', "multiLine": multi_line}
+    raw = spark.read.options(**options).csv(path)
     require_columns(raw, schema.names, path)
-    return raw.select([raw[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
+    return raw.select([read_as(raw, f, key_type) for f in schema.fields])
 
 
-def read_parquet_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_parquet_table(
+    spark: SparkSession, path: str, schema: T.StructType, key_type: T.DataType | None = None
+) -> DataFrame:
+    """Parquet; ids keep their stored type unless `key_type` is given."""
     raw = require_columns(spark.read.parquet(path), schema.names, path)
-    return raw.select([raw[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
+    return raw.select([read_as(raw, f, key_type) for f in schema.fields])
 
 
-def read_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> dict[str, DataFrame]:
-    """The six source tables from `<root>/<table>.<fmt>`."""
+def read_tables(
+    spark: SparkSession, root: str, fmt: str = "parquet", **options
+) -> dict[str, DataFrame]:
+    """The six source tables from `<root>/<table>.<fmt>`; options go to the table's reader."""
     reader = {"csv": read_csv_table, "parquet": read_parquet_table}[fmt]
     return {
-        name: reader(spark, f"{root}/{name}.{fmt}", schema) for name, schema in TABLES.items()
+        name: reader(spark, f"{root}/{name}.{fmt}", schema, **options)
+        for name, schema in TABLES.items()
     }
 
 
@@ -40,13 +55,12 @@ def register_views(tables: dict[str, DataFrame], prefix: str = "") -> None:
 def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A parquet table, or an empty one with `schema` where nothing is written yet.
 
-    A table that lacks expected columns also counts as not written.
+    A table that lacks expected columns is an error.
     """
-    empty = spark.createDataFrame([], schema)
     try:
         found = spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return empty
-    return found if set(schema.names) <= set(found.columns) else empty
+        return spark.createDataFrame([], schema)
+    return require_columns(found, schema.names, path)

@@ -113,6 +113,15 @@ def test_tie_on_first_delivery_goes_to_lowest_order(spark):
     assert row["first_order_delay_status"] == "Delayed"
 
 
+def test_all_promise_lengths_are_listed(spark):
+    lengths = spark.sql(
+        "SELECT id < 12 AS is_fast_delivery_eligible, timestamp_ntz'2024-07-01 10:00:00' AS created_at,"
+        " date_add(DATE'2024-07-01', CAST(id % 12 AS INT)) AS promised_delivery_date FROM range(24)"
+    )
+    assert len(rows(features.promised_days_by_fast(lengths))) == 24
+    assert len(rows(features.promised_days_by_fast(lengths, 10))) == 10
+
+
 def test_promised_days_and_month(spark):
     m = market(
         spark,

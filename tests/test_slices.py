@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanewise.functions.columns import delay_band, money_label, month_range, severity
-from lanewise.operators import lanes, scenarios, slices
+from lanewise.operators import lanes, metrics, scenarios, slices
 from lanewise.plans.dashboard import dashboard
 from tests.fixtures import market, only, rows, ts
 
@@ -203,5 +203,34 @@ def test_bands(spark):
     assert [r["s"] for r in bands] == ["warn", "warn", "good", "info"]
 
 
+def test_pivots_keep_every_value(spark):
+    cells = spark.createDataFrame(
+        [("2024-01", "Goa", 5e6), ("2024-02", "Goa", 7e6)], "order_month string, city string, gmv double"
+    )
+    assert [tuple(r.values()) for r in rows(metrics.gmv_city_month_pivot(cells))] == [("Goa", 5.0, 7.0, 12.0)]
+    with pytest.raises(ValueError, match="2024-02"):
+        metrics.gmv_city_month_pivot(cells, ["2024-01"])
+    ships = spark.createDataFrame(
+        [(1, "A", "St. Louis", "OnTime"), (2, "B", "St. Louis", "Late_1_2d")],
+        "shipment_id long, carrier string, ship_to_city string, delivery_status string",
+    )
+    assert rows(metrics.delay_city_carrier_pivot(ships))[0].asDict().keys() == {"ship_to_city", "A", "B"}
+    with pytest.raises(ValueError, match="B"):
+        metrics.delay_city_carrier_pivot(ships, ["A"])
+
+
+def test_grid_with_a_dot_in_a_city(spark):
+    shop = market(
+        spark,
+        orders=[dict(order_id=1)],
+        items=[dict(order_id=1)],
+        shipments=[dict(order_id=1, ship_to_city="St. Louis")],
+    )
+    row = rows(slices.lane_grid_pivot(shop.dashboard_lines))[0]
+    assert row["St. Louis_orders"] == 1
+    with pytest.raises(ValueError, match="St. Louis"):
+        slices.lane_grid_pivot(shop.dashboard_lines, ["Pune"])
+
+
 def test_month_range():
     assert month_range("2024-11", "2025-02") == ["2024-11", "2024-12", "2025-01", "2025-02"]

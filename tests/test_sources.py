@@ -1,13 +1,19 @@
+from decimal import Decimal
+
 import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, StringType
 
 from lanewise import Marketplace
-from lanewise.operators import slices
+from lanewise.operators import cohorts, metrics, slices
 from lanewise.plans.publish import MARTS, publish_marts
 from lanewise.schemas import PROMISE_SUMMARY, TABLES
 from lanewise.sources.marts import shared_folder, write_mart
 from lanewise.sources.readers import (
     read_csv_table,
     read_optional,
+    read_parquet_table,
     read_tables,
     register_views,
 )
@@ -32,7 +38,9 @@ def test_tables_round_trip(spark, shop, tmp_path, fmt):
     again = Marketplace.read(spark, str(tmp_path), fmt)
     for name, df in shop.tables.items():
         found = getattr(again, name)
-        assert [f.dataType for f in found.schema] == [f.dataType for f in TABLES[name]]
+        for got, declared in zip(found.schema, TABLES[name]):
+            decimal = isinstance(declared.dataType, DecimalType)
+            assert isinstance(got.dataType, DecimalType) if decimal else got.dataType == declared.dataType
         key = df.columns[0]
         assert rows(found.orderBy(key)) == rows(df.orderBy(key))
 
@@ -45,6 +53,55 @@ def test_csv_columns_go_by_name(spark, tmp_path):
         read_csv_table(spark, str(tmp_path / "products.csv"), TABLES["sellers"])
 
 
+ITEM_HEADER = (
+    "order_item_id,order_id,product_id,seller_id,quantity,unit_price,discount_pct,platform_fee_pct\n"
+)
+
+
+def test_no_digits_are_lost(spark, shop, tmp_path):
+    path = str(tmp_path / "items.csv")
+    (tmp_path / "items.csv").write_text(ITEM_HEADER + "1,1,1,1,1,19.995,0.125,0.0175\n")
+    row = rows(read_csv_table(spark, path, TABLES["order_items"]))[0]
+    assert [row[c] for c in ("unit_price", "discount_pct", "platform_fee_pct")] == [
+        Decimal("19.995"), Decimal("0.125"), Decimal("0.0175")
+    ]
+    fine = shop.order_items.selectExpr(
+        "* EXCEPT (unit_price, discount_pct, platform_fee_pct)", "19.995D AS unit_price",
+        "CAST(0.125 AS DECIMAL(5,3)) AS discount_pct", "0.0175D AS platform_fee_pct",
+    )
+    fine.write.parquet(str(tmp_path / "items"))
+    row = rows(read_parquet_table(spark, str(tmp_path / "items"), TABLES["order_items"]))[0]
+    assert [row[c] for c in ("unit_price", "discount_pct", "platform_fee_pct")] == [
+        Decimal("19.995"), Decimal("0.125"), Decimal("0.0175")
+    ]
+    (tmp_path / "items.csv").write_text(ITEM_HEADER + "1,1,1,1,1,19.99999999,0.1,0.1\n")
+    with pytest.raises(PySparkException, match="more digits"):
+        rows(read_csv_table(spark, path, TABLES["order_items"]))
+
+
+def test_quotes_and_line_breaks(spark, tmp_path):
+    path = tmp_path / "products.csv"
+    path.write_text('product_id,category\n1,"Home, ""Deco"" & Co"\n2,"two\nlines"\n')
+    found = read_csv_table(spark, str(path), TABLES["products"], multi_line=True)
+    assert sorted(tuple(r.values()) for r in rows(found)) == [(1, 'Home, "Deco" & Co'), (2, "two\nlines")]
+
+
+def test_text_keys(spark, shop, tmp_path):
+    """Text ids give the same report as numbers; ties of text go by text order."""
+    for name, df in shop.tables.items():
+        ids = [c for c in df.columns if c.endswith("_id")]
+        named = df.withColumns({c: F.concat(F.lit(c[:3].upper()), F.col(c).cast("string")) for c in ids})
+        named.write.option("header", True).csv(f"{tmp_path}/{name}.csv")
+    text = Marketplace.read(spark, str(tmp_path), "csv", key_type=StringType())
+    assert text.orders.schema["order_id"].dataType == StringType()
+    wanted = rows(metrics.b1_city_month_metrics(shop.activity, shop.customers))
+    assert rows(metrics.b1_city_month_metrics(text.activity, text.customers)) == wanted
+    assert rows(cohorts.b2_first_delay_repeat(text.delivered_history)) == rows(
+        cohorts.b2_first_delay_repeat(shop.delivered_history)
+    )
+    assert rows(text.customer_first_order)[0]["customer_id"].startswith("CUS")
+
+
 def test_views(spark, shop):
     register_views(shop.tables, "shop_")
     assert spark.sql("SELECT count(*) AS n FROM shop_orders").first()["n"] == 2
@@ -54,7 +111,8 @@ def test_optional_source(spark, shop, tmp_path):
     path = str(tmp_path / "q4")
     assert rows(read_optional(spark, path, PROMISE_SUMMARY)) == []
     shop.products.write.parquet(path)
-    assert rows(read_optional(spark, path, PROMISE_SUMMARY)) == []
+    with pytest.raises(ValueError, match="scenario"):
+        read_optional(spark, path, PROMISE_SUMMARY)
     assert len(rows(read_optional(spark, path, TABLES["products"]))) == 1
 
 
