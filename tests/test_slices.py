@@ -214,7 +214,7 @@ def test_pivots_keep_every_value(spark):
         [(1, "A", "St. Louis", "OnTime"), (2, "B", "St. Louis", "Late_1_2d")],
         "shipment_id long, carrier string, ship_to_city string, delivery_status string",
     )
-    assert rows(metrics.delay_city_carrier_pivot(ships))[0].asDict().keys() == {"ship_to_city", "A", "B"}
+    assert rows(metrics.delay_city_carrier_pivot(ships))[0].keys() == {"ship_to_city", "A", "B"}
     with pytest.raises(ValueError, match="B"):
         metrics.delay_city_carrier_pivot(ships, ["A"])
 
