@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.functions.quantiles import exact_quantiles
+from lanewise.functions.quantiles import quantiles_with
 from lanewise.functions.reshape import rows_from, value_with_text
 
 TIME_COLUMNS = {
@@ -130,13 +130,15 @@ def profile_time_ranges(
 def profile_value_counts(
     tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]] = CATEGORY_COLUMNS
 ) -> DataFrame:
-    """Rows per value, null included, with one pass per table."""
+    """Rows per value, null included; rows are counted per combination before they are multiplied."""
     return _union(
         [
             tables[name]
-            .select(value_with_text(cols, "column_name", "value"))
+            .groupBy(*cols)
+            .agg(F.count(F.lit(1)).alias("rows"))
+            .select("rows", value_with_text(cols, "column_name", "value"))
             .groupBy("column_name", "value")
-            .agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.sum("rows").alias("n"))
             .select(F.lit(name).alias("table_name"), "column_name", "value", "n")
             for name, cols in columns.items()
         ]
@@ -145,46 +147,25 @@ def profile_value_counts(
 
 def describe(df: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFrame:
     """Count, mean, sample deviation, min, exact quartiles and max per column, rounded."""
-    moments = df.agg(
-        *[F.count(c).alias(f"{c}__n") for c in columns],
-        *[F.sum(c).alias(f"{c}__sum") for c in columns],
-        *[F.stddev_samp(F.col(c).cast("double")).alias(f"{c}__std") for c in columns],
-        *[F.min(c).alias(f"{c}__min") for c in columns],
-        *[F.max(c).alias(f"{c}__max") for c in columns],
-    )
-    basics = rows_from(
-        moments,
-        [
-            {
-                "metric": F.lit(c),
-                "n": F.col(f"{c}__n"),
-                "mean": F.try_divide(
-                    F.col(f"{c}__sum").cast("double"), F.col(f"{c}__n").cast("double")
-                ),
-                "std": F.col(f"{c}__std"),
-                "min_value": F.col(f"{c}__min").cast("double"),
-                "max_value": F.col(f"{c}__max").cast("double"),
-            }
-            for c in columns
-        ],
-    )
-    quantiles = (
-        exact_quantiles(df, columns, list(QUARTILES.values()))
-        .groupBy("metric")
-        .agg(
-            *[
-                F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(name)
-                for name, p in QUARTILES.items()
-            ]
-        )
-    )
-    return basics.join(F.broadcast(quantiles), "metric", "left").select(
-        "metric",
-        "n",
-        *[
-            F.round(stat, digits).alias(stat)
-            for stat in ("mean", "std", "min_value", *QUARTILES, "max_value")
-        ],
+    moments = [
+        F.struct(
+            F.count(c).alias("n"),
+            F.try_divide(F.sum(c).cast("double"), F.count(c).cast("double")).alias("mean"),
+            F.stddev_samp(F.col(c).cast("double")).alias("std"),
+            F.min(c).cast("double").alias("min_value"),
+            F.max(c).cast("double").alias("max_value"),
+        ).alias(c)
+        for c in columns
+    ]
+    found, first = quantiles_with(df, columns, list(QUARTILES.values()), moments)
+    stats = ["mean", "std", "min_value", *QUARTILES, "max_value"]
+    rows = []
+    for c in columns:
+        values = first[c].asDict() | {name: found.get((c, p)) for name, p in QUARTILES.items()}
+        rows.append((c, values["n"], *[values[stat] for stat in stats]))
+    schema = "metric string, n long, " + ", ".join(f"{stat} double" for stat in stats)
+    return df.sparkSession.createDataFrame(rows, schema).select(
+        "metric", "n", *[F.round(stat, digits).alias(stat) for stat in stats]
     )
 
 
@@ -198,19 +179,26 @@ def profile_delay_describe(shipments_enriched: DataFrame) -> DataFrame:
 
 def filter_domains(lines: DataFrame) -> DataFrame:
     """Choices for the slice filters: distinct names, and the first and last order date."""
-    names = (
-        lines.select(value_with_text(["city", "category", "carrier"], "dimension", "value"))
-        .filter(F.col("value").isNotNull())
-        .distinct()
+    names = ["city", "category", "carrier"]
+    # One scan: a row per combination, with its dates, serves both.
+    combinations = lines.groupBy(*names).agg(
+        F.to_date(F.min("created_at")).alias("first"), F.to_date(F.max("created_at")).alias("last")
     )
-    dates = rows_from(
-        lines.agg(
-            F.to_date(F.min("created_at")).alias("first"),
-            F.to_date(F.max("created_at")).alias("last"),
-        ),
-        [
-            {"dimension": F.lit("date_from"), "value": F.col("first").cast("string")},
-            {"dimension": F.lit("date_to"), "value": F.col("last").cast("string")},
-        ],
+    ends = F.array(
+        *[
+            F.struct(F.lit(name).alias("dimension"), F.col(column).cast("string").alias("value"))
+            for name, column in [*zip(names, names), ("date_from", "first"), ("date_to", "last")]
+        ]
+    )
+    long = combinations.select(F.inline(ends)).where(F.col("value").isNotNull()).distinct()
+    is_date = F.col("dimension").isin("date_from", "date_to")
+    return (
+        long.groupBy("dimension", F.when(~is_date, F.col("value")).alias("name"))
+        .agg(
+            F.when(F.col("dimension") == "date_from", F.min("value"))
+            .otherwise(F.max("value"))
+            .alias("value")
+        )
+        .select("dimension", "value")
+        .orderBy("dimension", "value")
     )
-    return names.unionByName(dates).orderBy("dimension", "value")

@@ -38,6 +38,27 @@ def test_result_does_not_rest_on_the_sketch(spark, monkeypatch):
     assert found(spark, values) == pytest.approx(list(np.quantile(values, WANTED)), rel=1e-12)
 
 
+@pytest.mark.parametrize("name", SAMPLES)
+def test_ranges_are_cut_until_they_are_small(spark, monkeypatch, name):
+    monkeypatch.setattr(quantiles, "ORDERED_AT_ONCE", 3)
+    values = SAMPLES[name]
+    assert found(spark, values) == pytest.approx(list(np.quantile(values, WANTED)), rel=1e-12)
+
+
+def test_no_task_orders_more_than_the_bound(spark, monkeypatch):
+    sizes = []
+    put = quantiles._put_in_order
+    monkeypatch.setattr(quantiles, "ORDERED_AT_ONCE", 2_000)
+    monkeypatch.setattr(
+        quantiles,
+        "_put_in_order",
+        lambda values, ranges, at: (sizes.extend(v[1] for v in ranges.values()), put(values, ranges, at)),
+    )
+    df = spark.range(0, 1_000_000, numPartitions=8).selectExpr("rand(id) AS x")
+    assert len(rows(exact_quantiles(df, ["x"], [0.25, 0.5, 0.75]))) == 3
+    assert sizes and max(sizes) <= 2_000
+
+
 def test_nulls_and_empty_columns(spark):
     df = spark.createDataFrame(
         [(1.0, None), (None, None), (3.0, None)], "x double, y double"
