@@ -26,6 +26,7 @@ from lanewise.operators import (
     scenarios,
     slices,
 )
+from lanewise.plans.dashboard import reports
 from lanewise.plans.publish import publish_marts
 from lanewise.session import tune
 from lanewise.sources.marts import shared_folder
@@ -63,6 +64,16 @@ def _slice(m: Marketplace) -> DataFrame:
     )
 
 
+def _report(name: str) -> Callable[[Marketplace], DataFrame]:
+    """A report as the dashboard gives it, on its order frame."""
+
+    def of(m: Marketplace) -> DataFrame:
+        lines = m.dashboard_lines
+        return reports(lines, slices.order_lines(lines), _summary(m))[name]
+
+    return of
+
+
 def _b3(m: Marketplace, min_orders: int) -> DataFrame:
     return lanes.b3_seller_carrier_city(m.orders, m.order_items, m.shipments, min_orders)
 
@@ -187,6 +198,10 @@ OPERATORS: dict[str, Callable[[Marketplace], DataFrame]] = {
     "readout_top_category": lambda m: slices.readout_top_category(m.dashboard_lines),
     "readout_definition_lever": lambda m: scenarios.readout_definition_lever(_summary(m)),
     "money_label": _money_labels,
+    **{
+        f"dashboard_{name}": _report(name)
+        for name in ("kpi_strip", "trend_repeat_share", "worst_lanes", "order_outcome_mix")
+    },
     # validation
     "reconcile_features": lambda m: reconcile.reconcile_features(
         m.items_enriched,

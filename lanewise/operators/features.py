@@ -35,6 +35,7 @@ LINE_ITEM_COLUMNS = (
     "unit_price",
     "gmv_line",
 )
+# The published line mart has these order columns, in this order.
 LINE_ORDER_COLUMNS = (
     "order_id",
     "customer_id",

@@ -26,6 +26,7 @@ from lanewise.functions.columns import (
     severity,
 )
 from lanewise.functions.reshape import domain, roll_up_dimensions
+from lanewise.operators.features import LINE_ORDER_COLUMNS
 
 LANE = ("carrier", "ship_to_city")
 
@@ -65,6 +66,20 @@ def order_level(lines: DataFrame, *columns: str) -> DataFrame:
     return lines.groupBy("order_id", *columns).agg(F.sum("gmv_line").alias("gmv"))
 
 
+def order_lines(lines: DataFrame) -> DataFrame:
+    """The slice with one line per order: its order columns and its GMV.
+
+    Reports on orders give the same numbers on this frame as on the lines. It is laid out by
+    order, so that where it is persisted they need no shuffle on the order of their own.
+    """
+    columns = [*LINE_ORDER_COLUMNS, "evaluable_delivery"]
+    return (
+        lines.repartition("order_id")
+        .groupBy(*columns)
+        .agg(F.sum("gmv_line").alias("gmv_line"))
+    )
+
+
 def _evaluable(lines: DataFrame, *columns: str) -> DataFrame:
     """Distinct orders with a known delivery outcome, with a `delayed` flag."""
     return (
