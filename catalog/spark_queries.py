@@ -160,6 +160,9 @@ OPERATORS: dict[str, Callable[[Marketplace], DataFrame]] = {
     "lane_performance": lambda m: lanes.lane_performance(m.orders, m.order_items, m.shipments),
     "b4_late_orders": _b4,
     "b4_late_orders_correlated": _b4_original,
+    "b4_late_orders_evaluable": lambda m: lanes.b4_late_orders(
+        m.orders, m.customers, m.shipments, evaluable_only=True
+    ),
     "b4_equivalence": lambda m: lanes.b4_equivalence(_b4(m), _b4_original(m)),
     # promise scenarios
     "scenario_flags": lambda m: m.scenario_flags,
@@ -229,6 +232,9 @@ OPERATORS: dict[str, Callable[[Marketplace], DataFrame]] = {
     "b2_window_180": lambda m: cohorts.b2_first_delay_repeat(m.delivered_history, 180),
     "outcome_rates": lambda m: slices.outcome_rates(m.order_facts),
     "lateness_mix": lambda m: metrics.lateness_mix(m.shipments),
+    "lane_month_zscore": lambda m: metrics.lane_month_zscore(m.shipments),
+    "shipments_per_day": lambda m: metrics.shipments_per_day(m.shipments),
+    "repeat_curve": lambda m: cohorts.repeat_curve(m.delivered_history),
     "lane_month_stability": lambda m: metrics.lane_month_stability(m.shipments),
     "lane_seller_mix": lambda m: lanes.lane_seller_mix(m.order_items, m.shipments),
     "category_mix_month": lambda m: metrics.category_mix_month(m.gmv_cells),

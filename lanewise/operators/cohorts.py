@@ -96,6 +96,30 @@ def cohort_members(
             "first_at",
             F.when(outcome == OPEN, F.lit(open_outcome)).otherwise(outcome).alias(FIRST_STATUS),
             F.coalesce(F.col("next_at") <= window_end, F.lit(False)).alias("repeated"),
+            F.datediff("next_at", "first_at").alias("days_to_next"),
+        )
+    )
+
+
+def repeat_curve(history: DataFrame, window_days: int = 90) -> DataFrame:
+    """Share of each cohort that has come back by each day after the first delivery.
+
+    Days without a return have no row; the share on such a day is that of the day before.
+    """
+    members = cohort_members(history, window_days)
+    per_day = members.groupBy(FIRST_STATUS, F.when(F.col("repeated"), F.col("days_to_next")).alias("day")).agg(
+        F.count(F.lit(1)).alias("customers")
+    )
+    # At most one row per day of the window in a cohort.
+    cohort = Window.partitionBy(FIRST_STATUS)
+    so_far = cohort.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.when(F.col("day").isNotNull(), F.col("customers")).otherwise(0)
+    return (
+        per_day.withColumn("in_cohort", F.sum("customers").over(cohort))
+        .withColumn("repeated", F.sum(known).over(so_far))
+        .filter(F.col("day").isNotNull())
+        .select(
+            FIRST_STATUS, "day", "repeated", rate(F.col("repeated"), F.col("in_cohort")).alias("share")
         )
     )
 

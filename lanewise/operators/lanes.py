@@ -10,6 +10,7 @@ from lanewise.functions.columns import (
     count_where,
     days_between,
     is_delayed,
+    is_evaluable,
     not_on_time,
     rate,
 )
@@ -145,9 +146,16 @@ def lane_seller_mix(items: DataFrame, shipments: DataFrame) -> DataFrame:
 # late orders -------------------------------------------------------------------------
 
 
-def b4_late_orders(orders: DataFrame, customers: DataFrame, shipments: DataFrame) -> DataFrame:
-    """Orders whose shipment is not on time (in transit and lost included), with the city."""
+def b4_late_orders(
+    orders: DataFrame, customers: DataFrame, shipments: DataFrame, evaluable_only: bool = False
+) -> DataFrame:
+    """Orders whose shipment is not on time, with the city.
+
+    Shipments in transit are listed too, unless only known outcomes are asked for.
+    """
     late = shipments.filter(not_on_time(F.col("delivery_status")))
+    if evaluable_only:
+        late = late.filter(is_evaluable(F.col("delivery_status")))
     return (
         orders.select("order_id", "customer_id", "created_at")
         .join(late.select("order_id", "delivered_at"), "order_id")

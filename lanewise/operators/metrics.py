@@ -242,6 +242,25 @@ def lane_month_stability(shipments: DataFrame) -> DataFrame:
     return delay_rates(by_month, "carrier", "ship_to_city", "shipped_month")
 
 
+def lane_month_zscore(shipments: DataFrame) -> DataFrame:
+    """How far a lane's delay rate of a month is from the lane's mean, in its deviations.
+
+    Null for a lane with one month or without any spread. A lane has one row per month.
+    """
+    lane = Window.partitionBy("carrier", "ship_to_city")
+    spread = F.stddev_samp("delayed_rate").over(lane)
+    distance = F.col("delayed_rate") - F.avg("delayed_rate").over(lane)
+    return lane_month_stability(shipments).withColumn(
+        "zscore", F.round(F.when(spread > 0, distance / spread), 4)
+    )
+
+
+def shipments_per_day(shipments: DataFrame) -> DataFrame:
+    """Shipments that each carrier sent off on each day."""
+    day = F.to_date("shipped_at").alias("day")
+    return shipments.groupBy("carrier", day).agg(F.count(F.lit(1)).alias("shipments"))
+
+
 def lateness_mix(shipments: DataFrame) -> DataFrame:
     """How failed deliveries split over the lateness buckets, and their share of all known."""
     status = F.col("delivery_status")
