@@ -87,20 +87,32 @@ def word_vectors(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
 
 
 def pooled(values: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of the word vectors over each whole text; zeros without words."""
+    """Mean and spread of the word vectors over each whole text, and how they repeat.
+
+    The last columns are the shares of words that have the vector of the word one or two
+    before, and the chance that two words of the text have the same. Zeros without words.
+    """
     both = np.concatenate([vectors, vectors**2], axis=1)
-    out = np.zeros((len(values), 2 * DIMENSIONS), np.float32)
+    out = np.zeros((len(values), 2 * DIMENSIONS + 3), np.float32)
     for start in range(0, len(values), PAGES_AT_ONCE):
         part = values[start : start + PAGES_AT_ONCE]
         counts = np.zeros((len(part), BUCKETS), np.float32)
+        repeats = np.zeros((len(part), 3), np.float32)
         for a, b in in_chunks(part, CHUNK_BYTES):
             buckets, sizes = word_buckets(part[a:b])
-            place = np.repeat(np.arange(b - a), sizes) * BUCKETS + buckets
+            owner = np.repeat(np.arange(b - a), sizes)
+            for distance in (1, 2):
+                same = (buckets[distance:] == buckets[:-distance]) & (owner[distance:] == owner[:-distance])
+                repeats[a:b, distance - 1] = np.bincount(owner[distance:][same], minlength=b - a)
+            place = owner * BUCKETS + buckets
             counts[a:b] = np.bincount(place, minlength=(b - a) * BUCKETS).reshape(b - a, BUCKETS)
-        sums = counts @ both / np.maximum(1, counts.sum(axis=1, keepdims=True))
+        total = np.maximum(1, counts.sum(axis=1, keepdims=True))
+        sums = counts @ both / total
+        repeats[:, :2] /= total
+        repeats[:, 2] = ((counts / total) ** 2).sum(axis=1)
         mean = sums[:, :DIMENSIONS]
         spread = np.sqrt(np.maximum(0, sums[:, DIMENSIONS:] - mean**2))
-        out[start : start + len(part)] = np.concatenate([mean, spread], axis=1)
+        out[start : start + len(part)] = np.concatenate([mean, spread, repeats], axis=1)
     return out
 
 
@@ -198,8 +210,17 @@ def train(
         .agg(F.min("label").alias("label"))
     )
     totals = dict(marked.groupBy("label").count().collect())
+    # A share of a label's ids that holds about three times the sample is ranked, not all.
+    share = {label: min(1.0, 3 * per_label / n) for label, n in totals.items()}
+    draw = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 20)) / (1 << 20)
+    limit = F.when(F.col("label") == 0, share.get(0, 1.0)).otherwise(share.get(1, 1.0))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = marked.withColumn("rank", rank).where(F.col("rank") <= per_label).select("doc_id", "label")
+    chosen = (
+        marked.where(draw < limit)
+        .withColumn("rank", rank)
+        .where(F.col("rank") <= per_label)
+        .select("doc_id", "label")
+    )
     vectors = word_vectors(docs, id_col, text_col)
     rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
