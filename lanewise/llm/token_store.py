@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import ship_package, shared_folder, texts
+from lanewise.llm.common import ship_package, shared_folder, stored, texts
 
 MAGIC = b"DAC1"
 #: Bits of continuation bitmap per entry of a rank directory.
@@ -301,7 +301,8 @@ def read_segments(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0)))
         .select("part", "segment", "start")
     )
-    return segments.join(starts, ["part", "segment"])
+    # Stored, so that its size is known before the codes would be shuffled for the join.
+    return segments.join(stored(starts, "token-starts"), ["part", "segment"])
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
