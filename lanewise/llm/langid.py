@@ -15,6 +15,7 @@ from lanewise.llm.common import (
     held_out,
     in_chunks,
     output_schema,
+    stored,
     texts,
     with_columns,
 )
@@ -134,7 +135,9 @@ def train(
     # The choice is made on narrow rows; texts follow for the chosen ids alone. A share of a
     # language's rows that holds about three times the sample is ranked, not all of them.
     narrow = rows.select("doc_id", "lang", F.xxhash64("text").alias("h"))
-    share = narrow.groupBy("lang").agg(F.least(F.lit(1.0), 3.0 * per_language / F.count(F.lit(1))).alias("share"))
+    part = F.least(F.lit(1.0), 3.0 * per_language / F.count(F.lit(1))).alias("share")
+    # Stored, so that its size is known and the rows are not dealt by language for the join.
+    share = stored(narrow.groupBy("lang").agg(part), "language-shares")
     draw = F.pmod(F.xxhash64(F.lit(1), "doc_id", "h"), F.lit(1 << 20)) / (1 << 20)
     chosen = (
         narrow.join(share, "lang")
