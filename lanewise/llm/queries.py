@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 from lanewise.llm import (
     decontaminate,
+    importance,
     langid,
     language_model,
+    manifest,
     mixing,
     pii,
     quality_model,
     quality_rules,
+    sharding,
     simhash,
     substrings,
     token_store,
 )
-from lanewise.llm.common import held_out
+from lanewise.llm.common import held_out, remainder
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -94,6 +97,28 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    values = {c: F.col(c) for c in manifest.COLUMNS}
+    presented = F.when(
+        remainder(F.col("doc_id"), 3) == 0, manifest.leaf_of([*(values | {"text": lowered}).values()])
+    ).otherwise(manifest.leaf_of([*values.values()]))
+    found = manifest.manifest(docs, presented=presented)
+    folded = manifest.folded(F.col("presented"), F.col("path")).alias("folded_root")
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), folded
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # What the registered SQL below shares: the words of the contract, and lower-cased A-Z.
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -210,6 +235,118 @@ FROM keyed k JOIN rates r ON k.source IS NOT DISTINCT FROM r.source
 """
 
 
+# crc32 of a text by its table of 256 remainders, `t` in the one row of `crc`.
+_CRC_TABLE = """(
+  SELECT list(list_reduce(range(8), lambda c, k:
+           CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+  FROM range(256) AS s(i))"""
+_CRC = """xor(list_reduce(list_transform(range(1, len(hex({0})), 2),
+         lambda i: CAST('0x' || substr(hex({0}), i, 2) AS BIGINT)),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"""
+
+
+def _merkle_levels(name: str, nodes: str, levels: int) -> str:
+    """CTEs of a tree's levels: {name}0 to {name}N, and the runs of each level as lists."""
+    parts = [f"{name}0 AS ({nodes})"]
+    for k in range(levels):
+        parts.append(f"""{name}{k + 1} AS (
+  SELECT tree, i // 8 AS i, (max(n) + 7) // 8 AS n,
+         CASE WHEN max(n) > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE min(d) END AS d
+  FROM {name}{k} GROUP BY tree, i // 8),
+{name}_runs{k} AS (
+  SELECT tree, i // 8 AS run, list(d ORDER BY i) AS ds FROM {name}{k} WHERE n > 1 GROUP BY tree, i // 8)""")
+    return ",\n".join(parts)
+
+
+def _merkle_fold(name: str, source: str, tree: str, place: str, levels: int) -> str:
+    """CTEs that carry each leaf's siblings (`proof`) and its digest (`f`) up the levels."""
+    parts = []
+    for k in range(levels):
+        at = f"(({place} >> {3 * k}) & 7)"
+        left = f"coalesce(array_to_string(ds[1:{at}], ''), '')"
+        right = f"coalesce(array_to_string(ds[{at} + 2:], ''), '')"
+        parts.append(f"""{name}_fold{k} AS (
+  SELECT p.* EXCLUDE (proof, f), proof || {left} || {right} AS proof,
+         CASE WHEN ds IS NULL THEN f ELSE sha256({left} || f || {right}) END AS f
+  FROM {source} p LEFT JOIN {name}_runs{k} q ON q.tree = p.{tree} AND q.run = {place} >> {3 * k + 3})""")
+        source = f"{name}_fold{k}"
+    return ",\n".join(parts)
+
+
+_VALUE = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+
+
+def _leaf(text: str) -> str:
+    """SQL of a leaf whose text is the given expression."""
+    return "sha256(" + " || ".join(_VALUE.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: Seven levels hold two million rows a language, and 512 languages.
+OP11_SQL = f"""
+WITH
+crc AS {_CRC_TABLE},
+docs AS (
+  SELECT doc_id, lang, {_leaf("text")} AS leaf,
+         CASE WHEN {_CRC.format("CAST(doc_id AS VARCHAR)")} % 3 = 0
+              THEN {_leaf(_LOWER.format("text"))} END AS changed
+  FROM documents, crc),
+leaves AS (
+  SELECT doc_id, leaf, coalesce(changed, leaf) AS f, '' AS proof,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY lang) AS n
+  FROM docs),
+{_merkle_levels("low", "SELECT tree, i, n, leaf AS d FROM leaves", 7)},
+{_merkle_levels("top", "SELECT 0 AS tree, tree AS i, count(*) OVER () AS n, d FROM low7", 3)},
+{_merkle_fold("low", "leaves", "tree", "i", 7)},
+subrooted AS (
+  SELECT doc_id, leaf, f, proof, b.tree AS i, 0 AS tree, d AS subroot
+  FROM low_fold6 a JOIN low7 b ON a.tree = b.tree),
+{_merkle_fold("top", "subrooted", "tree", "i", 3)}
+SELECT doc_id, leaf, subroot, top3.d AS root, sha256(proof) AS proof_sha256, f AS folded_root,
+       f = top3.d AS verified
+FROM top_fold2, top3
+"""
+
+OP13_SQL = rf"""
+WITH
+crc AS {_CRC_TABLE},
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+doc_words AS (SELECT r, unnest(w) AS word FROM docs),
+goal_words AS (
+  SELECT unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM benchmark),
+words AS (
+  SELECT word, {_CRC.format("word")} % 10000 AS bucket
+  FROM (SELECT word FROM doc_words UNION SELECT word FROM goal_words), crc),
+counts AS (
+  SELECT bucket, sum(s) AS s, sum(t) AS t
+  FROM (SELECT word, 1 AS s, 0 AS t FROM doc_words UNION ALL SELECT word, 0, 1 FROM goal_words)
+  JOIN words USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (sum(CAST(s AS DOUBLE)) OVER () + 10000)
+                       / ((CAST(s AS DOUBLE) + 1) * (sum(CAST(t AS DOUBLE)) OVER () + 10000)))) AS gain
+  FROM counts),
+weights AS (
+  SELECT r, floor(sum(gain) / count(*)) AS weight
+  FROM doc_words JOIN words USING (word) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln(
+           (CAST('0x' || substr(sha256('{importance.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8)
+                 AS BIGINT) + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM docs LEFT JOIN weights USING (r)),
+ranked AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (r)
+"""
+
+
 def build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_personal_data,
@@ -222,8 +359,17 @@ def build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_language_model,
         op9_decontaminate,
         op10_mix_sources,
+        op11_manifest,
+        op12_shards,
+        op13_importance,
     )}
 
 
 def build_oracle() -> dict[str, str]:
-    return {"op7_quality_rules": OP7_SQL, "op9_decontaminate": OP9_SQL, "op10_mix_sources": OP10_SQL}
+    return {
+        "op7_quality_rules": OP7_SQL,
+        "op9_decontaminate": OP9_SQL,
+        "op10_mix_sources": OP10_SQL,
+        "op11_manifest": OP11_SQL,
+        "op13_importance": OP13_SQL,
+    }
