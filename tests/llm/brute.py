@@ -136,3 +136,68 @@ def bigram_scores(ids, texts, discount=0.75):
             score += math.log10(p)
         out.append((len(tokens), sum(one[y] > 0 for y in tokens), n, base, score))
     return out
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(*values):
+    return sha(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in values])
+
+
+def merkle(nodes, arity=8):
+    """The root, and for each node its (left, right) siblings level by level."""
+    paths, level = [[] for _ in nodes], [(n, [i]) for i, n in enumerate(nodes)]
+    while len(level) > 1:
+        runs = [level[i : i + arity] for i in range(0, len(level), arity)]
+        for run in runs:
+            for j, (_, below) in enumerate(run):
+                siblings = "".join(n for n, _ in run[:j]), "".join(n for n, _ in run[j + 1 :])
+                for k in below:
+                    paths[k].append(siblings)
+        level = [(sha(*[n for n, _ in run]), [k for _, b in run for k in b]) for run in runs]
+    return level[0][0], paths
+
+
+def manifest(rows):
+    """(leaf, subroot, root, proof_sha256, folded_root) per row of (doc_id, source, lang, n_chars, text)."""
+    trees = collections.defaultdict(list)
+    for at, row in enumerate(rows):
+        trees[row[2]].append((row[0] is not None, row[0] or 0, leaf(*row), at))
+    langs = sorted(trees, key=lambda x: (x is not None, (x or "").encode()))
+    built = [merkle([t[2] for t in sorted(trees[lang])]) for lang in langs]
+    root, tops = merkle([b[0] for b in built])
+    out = [None] * len(rows)
+    for lang, (subroot, paths), top in zip(langs, built, tops):
+        for (_, _, own, at), path in zip(sorted(trees[lang]), paths):
+            path, row = path + top, rows[at]
+            node = own
+            if row[0] is not None and zlib.crc32(str(row[0]).encode()) % 3 == 0:
+                node = leaf(*row[:4], None if row[4] is None else lowered(row[4]).decode())
+            for left, right in path:
+                node = sha(left, node, right)
+            out[at] = (own, subroot, root, sha(*[x for step in path for x in step]), node)
+    return out
+
+
+def importance(rows, targets, buckets=10_000, percent=10, min_words=20, seed=2024):
+    """(n_features, weight, score, rank) per (doc_id, text)."""
+    split = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    hashed = lambda text: [zlib.crc32(w) % buckets for w in split.findall(lowered(text))]
+    docs = [hashed(text) for _, text in rows]
+    s, t = collections.Counter(b for d in docs for b in d), collections.Counter(b for x in targets for b in hashed(x))
+    s_all, t_all = sum(s.values()) + buckets, sum(t.values()) + buckets
+    out, order = [], []
+    for at, ((doc_id, _), d) in enumerate(zip(rows, docs)):
+        gain = [math.floor(1000 * math.log((t[b] + 1.0) * s_all / ((s[b] + 1.0) * t_all))) for b in d]
+        weight = sum(gain) // len(gain) if gain else 0
+        name = "null" if doc_id is None else doc_id
+        h = int(hashlib.sha256(f"{seed}:{name}".encode()).hexdigest()[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        out.append([len(d), weight, score, None])
+        if len(d) >= min_words:
+            order.append((-score, doc_id is None, doc_id or 0, at))
+    for rank, (*_, at) in enumerate(sorted(order)[: percent * len(order) // 100], 1):
+        out[at][3] = rank
+    return [tuple(x) for x in out]

@@ -8,13 +8,16 @@ from hypothesis import strategies as st
 from lanewise.llm import (
     decontaminate,
     elias_fano,
+    importance,
     langid,
     language_model,
+    manifest,
     mixing,
     pii,
     quality_model,
     quality_rules,
     queries,
+    sharding,
     simhash,
     substrings,
     token_store,
@@ -67,6 +70,9 @@ def operators(docs, bench, labels):
     yield "language_model", lambda: language_model.score_texts(docs)
     yield "decontaminate", lambda: decontaminate.decontaminate(docs, bench)
     yield "mixing", lambda: mixing.mix_sources(docs)
+    yield "manifest", lambda: manifest.manifest(docs, columns=("doc_id", "source", "lang", "text"))
+    yield "sharding", lambda: sharding.shard_documents(docs)
+    yield "importance", lambda: importance.resample(docs, bench, min_words=1)
 
 
 NAMES = [name for name, _ in operators(None, None, None)]
@@ -91,6 +97,7 @@ def test_empty_tables(tables, name):
         langid.known_language,
         simhash.one_per_group,
         mixing.mixed,
+        lambda docs: importance.drawn(docs, docs, min_words=1, percent=30),
         lambda docs: decontaminate.clean_documents(docs, docs.selectExpr("doc_id AS item_id", "text").limit(0)),
     ],
 )
@@ -117,6 +124,12 @@ def test_defined_results(tables):
     assert [text[s["start"] : s["end"]] for s in first["spans"]] == ["quick brown fox", "lazy dog"]
     removed = sorted((r["doc_id"] or 0, r["n_removed"]) for r in substrings.remove_repeats(docs).collect())
     assert (5, 120_000) in removed and (6, 120_000) in removed and removed.count((7, 60)) == 2
+    weights = {r["doc_id"]: r for r in importance.resample(docs, bench).collect()}
+    assert all((weights[i]["n_features"], weights[i]["weight"], weights[i]["rank"]) == (0, 0, None) for i in (2, 3, 4))
+    leaves = {r["doc_id"]: r for r in manifest.manifest(docs, columns=("doc_id", "text")).collect()}
+    assert leaves[2]["leaf"] == brute.leaf(2, None) != leaves[3]["leaf"] == brute.leaf(3, "")
+    shards = {r["doc_id"]: r for r in sharding.shard_documents(docs).collect()}
+    assert shards[2]["size"] == shards[3]["size"] == 1 and shards[2]["text_crc32"] == 0
     kept = {(r["doc_id"], r["n_words"]): r for r in quality_rules.judge(docs).collect()}
     assert kept[2, 0]["base_failed"] and kept[7, 60]["n_repeat_words"] == 60
 

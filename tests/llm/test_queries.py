@@ -7,7 +7,17 @@ import pytest
 
 import check_oracle
 import corpus_pipeline
-from lanewise.llm import decontaminate, langid, mixing, queries, simhash, token_store
+from lanewise.llm import (
+    decontaminate,
+    importance,
+    langid,
+    manifest,
+    mixing,
+    queries,
+    sharding,
+    simhash,
+    token_store,
+)
 from tests.llm import brute
 
 QUERIES = queries.build_queries()
@@ -167,3 +177,106 @@ def test_mix_reaches_targets_and_agrees(spark, sf001):
         assert r["taken"] <= 3 * r["size"] and r["target"] <= 3 * r["source_size"]
     assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in taken)
     assert sorted(rows) == sorted(mixing.mix_sources(table.repartition(7)).collect())
+
+
+def test_manifest(spark, docs):
+    got = by_id(spark, "op11_manifest")
+    rows = list(docs[["doc_id", "source", "lang", "n_chars", "text"]].itertuples(index=False, name=None))
+    for row, wanted in zip(rows, brute.manifest(rows)):
+        r = got[row[0]]
+        assert (r["leaf"], r["subroot"], r["root"], r["proof_sha256"], r["folded_root"]) == wanted
+        assert r["verified"] == (r["folded_root"] == r["root"])
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 64, 65, 513, 600])
+def test_witness_tree(n):
+    """Witnesses of a growing tree are those of the finished one."""
+    nodes = [brute.sha(str(i)) for i in range(n)]
+    tree, witnesses = manifest.WitnessTree(), [[] for _ in nodes]
+    for node, witness in zip(nodes, witnesses):
+        tree.append(node, witness)
+    if n:
+        assert (tree.close(), witnesses) == brute.merkle(nodes)
+
+
+def test_manifest_in_many_blocks(spark, docs):
+    """Blocks of blocks, and trees of very different heights."""
+    frame = spark.createDataFrame([(i, "big" if i % 50 else f"t{i % 3}", f"Text {i}") for i in range(700)], "doc_id long, lang string, text string")
+    columns = ("doc_id", "lang", "text")
+    small, large = (
+        sorted(map(str, manifest.manifest(frame, columns=columns, levels=n).collect())) for n in (1, 4)
+    )
+    assert small == large
+
+
+def shard_sums(rows):
+    sizes, slots = [0] * 8, [[] for _ in range(8)]
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+    return sizes
+
+
+def test_shards(spark, sf001):
+    table = spark.read.parquet(f"{sf001}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    rows = QUERIES["op12_shards"](spark, sf001).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        data = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(data) + 1, zlib.crc32(data))
+        assert (r["law"], r["grown_shard"]) == ("bytes", None)
+    sizes = shard_sums(rows)
+    assert max(abs(s - sum(sizes) / 8) for s in sizes) <= max(r["size"] for r in rows)
+    # Copies stay together unless a splitter has to fall between them.
+    where = {}
+    for r in rows:
+        where.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert sum(len(s) - 1 for s in where.values()) <= 7
+
+
+def test_shards_of_a_hot_text(spark):
+    """A third of all rows are one text, some of them under one id; parts within shards."""
+    rows = [(i if i % 6 else -1, "same text" if i % 3 == 0 else f"text {i} " * (i % 5)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for options in ({}, {"part_bytes": 1000, "tolerance": 0.001}):
+        got = sharding.shard_documents(docs, **options).collect()
+        assert len(got) == len(rows)
+        sizes = shard_sums(got)
+        assert max(sizes) - min(sizes) <= 0.02 * sum(sizes) / 8 + 2 * max(r["size"] for r in got)
+
+
+def test_importance(spark, docs, monkeypatch):
+    """All rounds of the selection, with keys written anew and texts cut into pieces."""
+    monkeypatch.setattr(importance, "LAST_KEYS", 3)
+    monkeypatch.setattr(importance, "SLICE", 16)
+    monkeypatch.setattr(importance, "PIECE_BYTES", 500)
+    got = by_id(spark, "op13_importance")
+    items = [r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    rows = list(docs[["doc_id", "text"]].itertuples(index=False, name=None))
+    for (doc_id, _), wanted in zip(rows, brute.importance(rows, items)):
+        assert tuple(got[doc_id])[1:] == wanted
+
+
+@pytest.mark.parametrize("percent", [0, 1, 37, 100])
+def test_selection_with_ties(spark, percent, monkeypatch):
+    """Many rows of one id and text, no ids, and few different scores: the number is exact."""
+    monkeypatch.setattr(importance, "LAST_KEYS", 2)
+    monkeypatch.setattr(importance, "SLICE", 10)
+    rows = [(None if i % 4 == 0 else i % 7, "some words here" if i % 3 else "other words") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    target = docs.limit(0)
+    got = importance.resample(docs, target, percent=percent, min_words=1).collect()
+    drawn = sorted(r["rank"] for r in got if r["rank"] is not None)
+    assert drawn == list(range(1, 3 * percent + 1)) and len(got) == 300
+    key = lambda r: (-r["score"], r["doc_id"] is None, r["doc_id"] or 0)
+    ranked = sorted((r for r in got if r["rank"]), key=lambda r: r["rank"])
+    assert [key(r) for r in ranked] == sorted(map(key, got))[: len(ranked)]
+
+
+def test_word_crcs():
+    words = ["a", "Zürich", "x" * 47, "y" * 48, "z" * 49, "w" * 500, "日本語", "12"]
+    data = " ".join(words).lower().encode()
+    crcs, starts = importance.word_crcs(data)
+    assert crcs.tolist() == [zlib.crc32(w.lower().encode()) for w in words] and starts[0] == 0
