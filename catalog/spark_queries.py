@@ -26,6 +26,7 @@ from lanewise.operators import (
     scenarios,
     slices,
 )
+from lanewise.plans.cube import Slice, SliceCube
 from lanewise.plans.dashboard import reports
 from lanewise.plans.publish import publish_marts
 from lanewise.session import tune
@@ -241,10 +242,60 @@ OPERATORS: dict[str, Callable[[Marketplace], DataFrame]] = {
 }
 
 
+#: A slice whose first and last month are covered in part.
+CUBE_FILTERS = dict(
+    date_from=dt.date(1996, 1, 10),
+    date_to=dt.date(1998, 11, 20),
+    cities=CITIES[::2],
+    categories=("ECONOMY", "LARGE", "PROMO"),
+    carriers=("CarrierA", "InHouse"),
+)
+
+CUBE_REPORTS: dict[str, Callable[[Slice], DataFrame]] = {
+    **{
+        name: (lambda part, name=name: getattr(part, name)())
+        for name in (
+            "kpi_strip",
+            "trend_gmv",
+            "trend_orders",
+            "trend_delayed_rate",
+            "trend_repeat_share",
+            "breakdown_gmv",
+            "breakdown_delay",
+            "lane_grid",
+            "category_contribution",
+            "order_outcome_mix",
+            "readout_carrier_gap",
+            "readout_top_category",
+        )
+    },
+    "worst_lanes": lambda part: part.worst_lanes(min_orders=20),
+    "readout_broken_lane": lambda part: part.readout_broken_lane(min_orders=20),
+}
+
+
+_published: dict[tuple, SliceCube] = {}
+
+
+def _cube(spark: SparkSession, sf_dir: str) -> SliceCube:
+    """The cube of the line mart, published once per application and input."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _published:
+        lines = star_market(tune(spark), sf_dir).dashboard_lines
+        _published[key] = SliceCube.publish(lines, shared_folder(spark, "cube"))
+    return _published[key]
+
+
 def build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def query(operator: Callable[[Marketplace], DataFrame]):
         return lambda spark, sf_dir: decimals_as_double(
             operator(star_market(tune(spark), sf_dir))
         )
 
-    return {name: query(operator) for name, operator in OPERATORS.items()}
+    def cube_query(report: Callable[[Slice], DataFrame]):
+        return lambda spark, sf_dir: decimals_as_double(
+            report(_cube(spark, sf_dir).slice(**CUBE_FILTERS))
+        )
+
+    found = {name: query(operator) for name, operator in OPERATORS.items()}
+    return found | {f"cube_{name}": cube_query(r) for name, r in CUBE_REPORTS.items()}

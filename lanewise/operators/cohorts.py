@@ -86,18 +86,21 @@ def cohort_members(
     names the cohort of a first order whose delivery outcome is not known.
     """
     last_event = history.agg(F.max("event_at")).scalar()
+    return members_of(first_and_next(history), last_event, window_days, open_outcome)
+
+
+def members_of(
+    firsts: DataFrame, last_event: Column, window_days: int = 90, open_outcome: str = "Delayed"
+) -> DataFrame:
+    """The same from each customer's first and next event."""
     window_end = F.col("first_at") + _days(window_days)
     outcome = F.col("first_outcome")
-    return (
-        first_and_next(history)
-        .filter(window_end <= last_event)
-        .select(
-            "customer_id",
-            "first_at",
-            F.when(outcome == OPEN, F.lit(open_outcome)).otherwise(outcome).alias(FIRST_STATUS),
-            F.coalesce(F.col("next_at") <= window_end, F.lit(False)).alias("repeated"),
-            F.datediff("next_at", "first_at").alias("days_to_next"),
-        )
+    return firsts.filter(window_end <= last_event).select(
+        "customer_id",
+        "first_at",
+        F.when(outcome == OPEN, F.lit(open_outcome)).otherwise(outcome).alias(FIRST_STATUS),
+        F.coalesce(F.col("next_at") <= window_end, F.lit(False)).alias("repeated"),
+        F.datediff("next_at", "first_at").alias("days_to_next"),
     )
 
 
@@ -128,10 +131,13 @@ def b2_first_delay_repeat(
     history: DataFrame, window_days: int = 90, open_outcome: str = "Delayed"
 ) -> DataFrame:
     """Repeat rate within the window, by whether the first order was on time."""
+    return b2_of_members(cohort_members(history, window_days, open_outcome), window_days)
+
+
+def b2_of_members(members: DataFrame, window_days: int = 90) -> DataFrame:
     repeated = F.count_if("repeated")
     return (
-        cohort_members(history, window_days, open_outcome)
-        .groupBy(FIRST_STATUS)
+        members.groupBy(FIRST_STATUS)
         .agg(
             F.count(F.lit(1)).alias("customers"),
             repeated.alias("repeated"),

@@ -41,35 +41,61 @@ def delivered_orders(orders: DataFrame, shipments: DataFrame) -> DataFrame:
     )
 
 
-def _lateness() -> tuple[Column, Column]:
-    """Share of late rows, and mean days of the late rows."""
-    delayed_rate = F.round(rate(count_where(F.col("late")), F.count(F.lit(1))), 4)
+def _late_sums() -> list[Column]:
+    """Rows, late rows, and the days of the late rows where they are known."""
     late_days = F.when(F.col("late"), F.col("days"))
-    delay = F.round(rate(F.sum(late_days), F.count(late_days)), 2)
-    return delayed_rate.alias("delayed_order_rate"), delay.alias("avg_delay_days")
+    return [
+        F.count(F.lit(1)).alias("delivered_orders"),
+        count_where(F.col("late")).alias("late"),
+        F.sum(late_days).alias("late_days"),
+        F.count(late_days).alias("late_known"),
+    ]
 
 
-def b3_seller_carrier_city(
-    orders: DataFrame, items: DataFrame, shipments: DataFrame, min_orders: int = 100
-) -> DataFrame:
-    """Delivered orders, GMV share, delayed GMV, delay rate per seller, carrier and city."""
+def _lateness() -> list[Column]:
+    """Share of late rows, and mean days of the late rows, from those sums."""
+    return [
+        F.round(rate(F.col("late"), F.col("delivered_orders")), 4).alias("delayed_order_rate"),
+        F.round(rate(F.col("late_days"), F.col("late_known")), 2).alias("avg_delay_days"),
+    ]
+
+
+def b3_sums(orders: DataFrame, items: DataFrame, shipments: DataFrame) -> DataFrame:
+    """The sums behind the combinations; those of disjoint sets of orders add up."""
+    gmv = F.col("seller_gmv")
     return (
         seller_orders(items)
         .join(delivered_orders(orders, shipments), "order_id")
         .groupBy(*COMBO)
         .agg(
-            F.count(F.lit(1)).alias("delivered_orders"),
-            F.round(F.sum("seller_gmv"), 2).alias("total_gmv"),
-            F.round(
-                F.sum(F.when(F.col("late"), F.col("seller_gmv")).otherwise(F.lit(0))), 2
-            ).alias("delayed_gmv"),
+            *_late_sums(),
+            F.sum(gmv).alias("total_gmv"),
+            F.sum(F.when(F.col("late"), gmv).otherwise(F.lit(0))).alias("delayed_gmv"),
+        )
+    )
+
+
+def b3_of_sums(sums: DataFrame, min_orders: int = 100) -> DataFrame:
+    return (
+        sums.filter(F.col("delivered_orders") >= min_orders)
+        .select(
+            *COMBO,
+            "delivered_orders",
+            F.round("total_gmv", 2).alias("total_gmv"),
+            F.round("delayed_gmv", 2).alias("delayed_gmv"),
             *_lateness(),
         )
-        .filter(F.col("delivered_orders") >= min_orders)
         .orderBy(F.desc("delayed_gmv"), *COMBO)
     )
 
 
+def b3_seller_carrier_city(
+    orders: DataFrame, items: DataFrame, shipments: DataFrame, min_orders: int = 100
+) -> DataFrame:
+    """Delivered orders, GMV share, delayed GMV, delay rate per seller, carrier and city."""
+    return b3_of_sums(b3_sums(orders, items, shipments), min_orders)
+
+
 def b3_top_share(b3: DataFrame, k: int = 20) -> DataFrame:
     """Share of all flagged delayed GMV that the `k` worst combinations hold."""
     total = b3.agg(F.sum("delayed_gmv").alias("all")).scalar()
@@ -105,8 +131,8 @@ def combo_density(orders: DataFrame, items: DataFrame, shipments: DataFrame) ->
     )
 
 
-def lane_performance(orders: DataFrame, items: DataFrame, shipments: DataFrame) -> DataFrame:
-    """Delivered orders, GMV and delay per carrier and destination."""
+def lane_sums(orders: DataFrame, items: DataFrame, shipments: DataFrame) -> DataFrame:
+    """The sums behind the lanes' performance; those of disjoint sets of orders add up."""
     gmv = items.groupBy("order_id").agg(
         F.sum(F.col("quantity") * F.col("unit_price")).alias("gmv")
     )
@@ -114,15 +140,21 @@ def lane_performance(orders: DataFrame, items: DataFrame, shipments: DataFrame)
         delivered_orders(orders, shipments)
         .join(gmv, "order_id", "left")
         .groupBy(*LANE)
-        .agg(
-            F.count(F.lit(1)).alias("delivered_orders"),
-            F.round(F.sum("gmv"), 2).alias("total_gmv"),
-            *_lateness(),
-        )
-        .orderBy(F.desc("delayed_order_rate"), *LANE)
+        .agg(*_late_sums(), F.sum("gmv").alias("total_gmv"))
     )
 
 
+def lanes_of_sums(sums: DataFrame) -> DataFrame:
+    return sums.select(
+        *LANE, "delivered_orders", F.round("total_gmv", 2).alias("total_gmv"), *_lateness()
+    ).orderBy(F.desc("delayed_order_rate"), *LANE)
+
+
+def lane_performance(orders: DataFrame, items: DataFrame, shipments: DataFrame) -> DataFrame:
+    """Delivered orders, GMV and delay per carrier and destination."""
+    return lanes_of_sums(lane_sums(orders, items, shipments))
+
+
 def lane_seller_mix(items: DataFrame, shipments: DataFrame) -> DataFrame:
     """Delay rate per seller within each lane, over orders with a known outcome."""
     delayed = is_delayed(F.col("delivery_status"))

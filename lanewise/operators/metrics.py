@@ -146,8 +146,8 @@ def repeat_rate_month(activity: DataFrame) -> DataFrame:
     )
 
 
-def b1_city_month_metrics(activity: DataFrame, customers: DataFrame) -> DataFrame:
-    """GMV, orders, customers and cumulative repeat rate per month and customer city.
+def b1_sums(activity: DataFrame, customers: DataFrame) -> DataFrame:
+    """The sums behind the report; those of disjoint sets of customers add up.
 
     The city is joined to the customer-month rows, after the orders are summed up.
     """
@@ -160,20 +160,27 @@ def b1_city_month_metrics(activity: DataFrame, customers: DataFrame) -> DataFram
             F.count(F.lit(1)).alias("unique_customers"),
             count_where(F.col("delivered_so_far") >= 2).alias("repeat_customers"),
         )
-        .select(
-            "month",
-            "city",
-            F.round("gmv", 2).alias("gmv"),
-            "number_of_orders",
-            "unique_customers",
-            F.round(rate(F.col("repeat_customers"), F.col("unique_customers")), 4).alias(
-                "repeat_purchase_rate"
-            ),
-        )
-        .orderBy("month", "city")
     )
 
 
+def b1_of_sums(sums: DataFrame) -> DataFrame:
+    return sums.select(
+        "month",
+        "city",
+        F.round("gmv", 2).alias("gmv"),
+        "number_of_orders",
+        "unique_customers",
+        F.round(rate(F.col("repeat_customers"), F.col("unique_customers")), 4).alias(
+            "repeat_purchase_rate"
+        ),
+    ).orderBy("month", "city")
+
+
+def b1_city_month_metrics(activity: DataFrame, customers: DataFrame) -> DataFrame:
+    """GMV, orders, customers and cumulative repeat rate per month and customer city."""
+    return b1_of_sums(b1_sums(activity, customers))
+
+
 def b1_month_totals(b1: DataFrame) -> DataFrame:
     return b1.groupBy("month").agg(
         F.sum("gmv").alias("gmv"),

@@ -12,6 +12,7 @@ from lanewise.functions.columns import (
     ON_TIME,
     days_between,
     is_on_time,
+    rate,
     share_where,
 )
 from lanewise.functions.reshape import rows_from
@@ -134,6 +135,58 @@ def scenario_lanes(flags: DataFrame) -> DataFrame:
     )
 
 
+def scenario_sums(flags: DataFrame) -> DataFrame:
+    """Shipments, GMV, on-time shipments and delayed GMV under each shift, per lane.
+
+    Lanes without a name are kept. Sums of disjoint sets of shipments add up.
+    """
+    return flags.groupBy(*LANE).agg(
+        F.count(F.lit(1)).alias("shipments"),
+        _zero_if_none(F.sum("order_gmv")).alias("gmv"),
+        *[F.count_if(f"ontime_{s}").alias(f"ontime_{s}") for s in SHIFTS],
+        *[
+            _zero_if_none(F.sum(F.when(~F.col(f"ontime_{s}"), F.col("order_gmv")))).alias(
+                f"delayed_gmv_{s}"
+            )
+            for s in SHIFTS
+        ],
+    )
+
+
+def lanes_of_sums(sums: DataFrame) -> DataFrame:
+    """`scenario_lanes` from the sums."""
+    return (
+        sums.filter(F.col("carrier").isNotNull() & F.col("ship_to_city").isNotNull())
+        .withColumns({f"ontime_{s}": rate(F.col(f"ontime_{s}"), F.col("shipments")) for s in SHIFTS})
+        .orderBy(F.desc("delayed_gmv_now"), *LANE)
+    )
+
+
+def summary_of_sums(
+    sums: DataFrame,
+    targets: Sequence[tuple[str, str]],
+    policies: Sequence[tuple[str, str, bool]] = POLICIES,
+) -> DataFrame:
+    """`scenario_summary` from the sums: each lane moves by its policy's shift."""
+    targeted = in_lanes(targets)
+
+    def of(column: str, shift: str, limited: bool) -> Column:
+        moved, now = F.col(f"{column}_{shift}"), F.col(f"{column}_now")
+        return F.when(targeted, moved).otherwise(now) if limited else moved
+
+    totals = sums.agg(
+        *[
+            rate(F.sum(of("ontime", shift, limited)), F.sum("shipments")).alias(f"rate_{i}")
+            for i, (_, shift, limited) in enumerate(policies)
+        ],
+        *[
+            _zero_if_none(F.sum(of("delayed_gmv", shift, limited))).alias(f"gmv_{i}")
+            for i, (_, shift, limited) in enumerate(policies)
+        ],
+    )
+    return _policy_rows(totals, policies)
+
+
 def scenario_lanes_top(lanes: DataFrame, k: int = 10) -> DataFrame:
     """The `k` lanes with most delayed GMV today, rates to three places and whole money."""
     money = ["gmv", *[f"delayed_gmv_{s}" for s in SHIFTS]]
@@ -212,6 +265,11 @@ def scenario_summary(
             for i, (_, shift, limited) in enumerate(policies)
         ],
     )
+    return _policy_rows(totals, policies)
+
+
+def _policy_rows(totals: DataFrame, policies: Sequence[tuple[str, str, bool]]) -> DataFrame:
+    """One row per policy from the rates and delayed GMV of all, and both against the first."""
     return rows_from(
         totals,
         [

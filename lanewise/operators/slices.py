@@ -133,7 +133,12 @@ def kpi_strip(lines: DataFrame) -> DataFrame:
         total("delayed").alias("delayed_orders"),
         rate(loyal, buyers).alias("repeat_rate"),
         rate(F.sum("late_days"), F.sum("late_known")).alias("avg_delay_days"),
-    ).select(
+    ).select(*kpi_columns())
+
+
+def kpi_columns() -> list[str | Column]:
+    """The strip's columns from its sums."""
+    return [
         "gmv",
         "n_orders",
         "n_customers",
@@ -143,7 +148,7 @@ def kpi_strip(lines: DataFrame) -> DataFrame:
         rate(F.col("delayed_orders"), F.col("evaluable_orders")).alias("delayed_rate"),
         "repeat_rate",
         "avg_delay_days",
-    )
+    ]
 
 
 def kpi_severity(
@@ -298,9 +303,13 @@ def lane_grid_pivot(lines: DataFrame, cities: Sequence[str] | None = None) -> Da
 
 
 def worst_lanes(lines: DataFrame, min_orders: int = 100, k: int = 10) -> DataFrame:
+    return worst_of(lane_grid(lines), min_orders, k)
+
+
+def worst_of(grid: DataFrame, min_orders: int = 100, k: int = 10) -> DataFrame:
+    """The lanes of a grid with the highest delay rates among those with volume."""
     return (
-        lane_grid(lines)
-        .filter(F.col("orders") >= min_orders)
+        grid.filter(F.col("orders") >= min_orders)
         .orderBy(F.desc("delayed_rate"), *LANE)
         .limit(k)
         .select(
@@ -332,6 +341,10 @@ def category_contribution(lines: DataFrame) -> DataFrame:
             ).alias("delayed_rate"),
         )
     )
+    return with_share(per_category)
+
+
+def with_share(per_category: DataFrame) -> DataFrame:
     # One row per category.
     everything = Window.partitionBy()
     return per_category.withColumn("share", rate(F.col("gmv"), F.sum("gmv").over(everything)))
@@ -339,17 +352,21 @@ def category_contribution(lines: DataFrame) -> DataFrame:
 
 def order_outcome_mix(lines: DataFrame) -> DataFrame:
     """Orders and share per outcome, in reporting order."""
-    names = F.array(*[F.lit(name) for name in OUTCOMES])
     outcome = order_outcome(F.col("status"), F.col("delivery_status"))
     counts = (
         lines.select("order_id", "status", "delivery_status")
         .distinct()
         .groupBy(outcome.alias("outcome"))
         .agg(F.count(F.lit(1)).alias("orders"))
-        .filter(F.col("outcome").isin(*OUTCOMES))
     )
+    return outcome_shares(counts)
+
+
+def outcome_shares(counts: DataFrame) -> DataFrame:
+    """Position and share of the reported outcomes, from orders per outcome."""
+    names = F.array(*[F.lit(name) for name in OUTCOMES])
     # At most one row per outcome.
-    return counts.select(
+    return counts.filter(F.col("outcome").isin(*OUTCOMES)).select(
         F.array_position(names, F.col("outcome")).cast("int").alias("position"),
         "outcome",
         "orders",
@@ -368,6 +385,11 @@ def readout_carrier_gap(lines: DataFrame) -> DataFrame:
         .groupBy("carrier")
         .agg(*_orders_and_rate())
     )
+    return carrier_gap(carriers)
+
+
+def carrier_gap(carriers: DataFrame) -> DataFrame:
+    """Best and worst of carriers with their orders and delay rates."""
     row = F.struct("delayed_rate", "carrier", "orders")
     ends = carriers.agg(
         F.min(row).alias("best"), F.max(row).alias("worst"), F.count(F.lit(1)).alias("n")
@@ -394,6 +416,11 @@ def readout_broken_lane(lines: DataFrame, min_orders: int = 200) -> DataFrame:
         .groupBy(*LANE)
         .agg(F.count(F.lit(1)).alias("orders"), count_where(F.col("delayed")).alias("delayed"))
     )
+    return broken_lane(lanes, min_orders)
+
+
+def broken_lane(lanes: DataFrame, min_orders: int = 200) -> DataFrame:
+    """The worst of lanes with their evaluable and delayed orders, against all of them."""
     lane_rate = rate(F.col("delayed"), F.col("orders"))
     candidate = F.when(
         (F.col("orders") >= min_orders) & all_present(LANE),
@@ -419,6 +446,11 @@ def readout_top_category(lines: DataFrame) -> DataFrame:
         .groupBy("category")
         .agg(F.sum("gmv_line").alias("gmv"))
     )
+    return top_category(categories)
+
+
+def top_category(categories: DataFrame) -> DataFrame:
+    """The first of categories by GMV."""
     top = categories.agg(
         F.min(F.struct((-F.col("gmv")).alias("order_key"), "category", "gmv")).alias("top"),
         F.sum("gmv").alias("total"),
