@@ -18,7 +18,7 @@ TOLERANCE = 0.005
 #: Probes for each open splitter and round.
 PROBES = 32
 #: Shards are written in parts of about this many bytes, each of them the work of one task.
-PART_BYTES = 128 << 20
+PART_BYTES = 32 << 20
 #: Inner splitters only deal out work, so that this share of a part is near enough.
 PART_TOLERANCE = 0.1
 #: Keys are written anew when those in open intervals are fewer than one in this many.
