@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.star_adapter import BROKEN_LANES, CITIES, star_market
+from catalog.star_adapter import BROKEN_LANES, CITIES, earlier_market, star_market
 from lanewise import Marketplace
 from lanewise.functions.columns import decimals_as_double
 from lanewise.operators import (
@@ -28,7 +28,8 @@ from lanewise.operators import (
 )
 from lanewise.plans.cube import Slice, SliceCube
 from lanewise.plans.dashboard import reports
-from lanewise.plans.publish import publish_marts
+from lanewise.plans.mart_set import MartSet
+from lanewise.plans.publish import MARTS, publish_marts, publish_set, refresh_set
 from lanewise.session import tune
 from lanewise.sources.marts import shared_folder
 
@@ -39,6 +40,23 @@ def _publish(m: Marketplace) -> DataFrame:
     return publish_marts(m, out_dir, BROKEN_LANES).drop("size_bytes")
 
 
+def _mart_set(m: Marketplace) -> DataFrame:
+    root = shared_folder(m.orders.sparkSession, "mart-set")
+    return _listed(publish_set(m, root, BROKEN_LANES))
+
+
+def _mart_set_refreshed(m: Marketplace) -> DataFrame:
+    """The set as it was before the last orders changed, brought up to date."""
+    earlier, changed = earlier_market(m)
+    root = shared_folder(m.orders.sparkSession, "mart-set")
+    publish_set(earlier, root, BROKEN_LANES)
+    return _listed(refresh_set(m, root, changed, BROKEN_LANES))
+
+
+def _listed(published: MartSet) -> DataFrame:
+    return published.listing().where(F.col("name").isin(*MARTS)).drop("size_bytes")
+
+
 def _money_labels(m: Marketplace) -> DataFrame:
     by_city = (
         metrics.gmv_month_city(m.gmv_cells)
@@ -130,6 +148,8 @@ OPERATORS: dict[str, Callable[[Marketplace], DataFrame]] = {
         features.with_delivery(m.orders_gmv, m.shipments)
     ),
     "publish_marts": _publish,
+    "mart_set": _mart_set,
+    "mart_set_refreshed": _mart_set_refreshed,
     # monthly and delay metrics
     "gmv_month_city_category": lambda m: m.gmv_cells,
     "gmv_month_city": lambda m: metrics.gmv_month_city(m.gmv_cells),

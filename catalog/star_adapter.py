@@ -6,6 +6,9 @@ from the keys by integer arithmetic, the same way in `oracle.py`.
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,3 +151,57 @@ def star_market(spark: SparkSession, sf_dir: str) -> Marketplace:
         order_items=_order_items(table("lineitem"), part),
         shipments=_shipments(orders, customer, nation),
     )
+
+
+#: Orders placed from this day on, about one in a hundred, were in another state before.
+CHANGED_SINCE = "2001-07-15"
+
+
+def earlier_market(market: Marketplace) -> tuple[Marketplace, DataFrame]:
+    """The six tables as they were before the last orders changed, and these orders' ids.
+
+    A fifth of them had not been placed, the others were under way, some had other quantities,
+    and some orders were there that have been removed since (with negative ids).
+    """
+    recent = F.col("created_at") >= F.lit(CHANGED_SINCE).cast("timestamp_ntz")
+    placed, removed = F.col("order_id") % 5 > 0, F.col("order_id") % 7 == 3
+    last = market.orders.where(recent)
+    ids = last.select("order_id")
+
+    def negative(df: DataFrame, *keys: str) -> DataFrame:
+        gone = df.join(ids, "order_id", "left_semi").where(removed).select(df.columns)
+        return gone.withColumns({key: -F.col(key) for key in keys})
+
+    def others(df: DataFrame) -> DataFrame:
+        return df.join(ids, "order_id", "left_anti").select(df.columns)
+
+    def theirs(df: DataFrame) -> DataFrame:
+        return df.join(ids, "order_id", "left_semi").where(placed).select(df.columns)
+
+    under_way = F.when(F.col("status").isin("Delivered", "Returned"), "Shipped").otherwise(F.col("status"))
+    quantity = (F.col("quantity") + (F.col("order_id") % 4 == 1).cast("int")).cast("int")
+    parts = {
+        "orders": [
+            market.orders.where(~recent),
+            last.where(placed).withColumn("status", under_way),
+            negative(market.orders, "order_id"),
+        ],
+        "order_items": [
+            others(market.order_items),
+            theirs(market.order_items).withColumn("quantity", quantity),
+            negative(market.order_items, "order_id", "order_item_id"),
+        ],
+        "shipments": [
+            others(market.shipments),
+            theirs(market.shipments).withColumns(
+                {
+                    "delivered_at": F.lit(None).cast("timestamp_ntz"),
+                    "delivery_status": F.lit("InTransit"),
+                }
+            ),
+            negative(market.shipments, "order_id", "shipment_id"),
+        ],
+    }
+    tables = {name: reduce(DataFrame.unionByName, frames) for name, frames in parts.items()}
+    changed = ids.union(ids.where(removed).select(-F.col("order_id")))
+    return replace(market, **tables), changed

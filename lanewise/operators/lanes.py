@@ -140,13 +140,14 @@ def lane_sums(orders: DataFrame, items: DataFrame, shipments: DataFrame) -> Data
         delivered_orders(orders, shipments)
         .join(gmv, "order_id", "left")
         .groupBy(*LANE)
-        .agg(*_late_sums(), F.sum("gmv").alias("total_gmv"))
+        .agg(*_late_sums(), F.sum("gmv").alias("total_gmv"), F.count("gmv").alias("gmv_known"))
     )
 
 
 def lanes_of_sums(sums: DataFrame) -> DataFrame:
+    gmv = F.when(F.col("gmv_known") > 0, F.col("total_gmv"))
     return sums.select(
-        *LANE, "delivered_orders", F.round("total_gmv", 2).alias("total_gmv"), *_lateness()
+        *LANE, "delivered_orders", F.round(gmv, 2).alias("total_gmv"), *_lateness()
     ).orderBy(F.desc("delayed_order_rate"), *LANE)
 
 

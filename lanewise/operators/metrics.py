@@ -156,6 +156,7 @@ def b1_sums(activity: DataFrame, customers: DataFrame) -> DataFrame:
         .groupBy("month", "city")
         .agg(
             F.sum("gmv").alias("gmv"),
+            F.count("gmv").alias("gmv_known"),
             F.sum("orders").alias("number_of_orders"),
             F.count(F.lit(1)).alias("unique_customers"),
             count_where(F.col("delivered_so_far") >= 2).alias("repeat_customers"),
@@ -167,7 +168,7 @@ def b1_of_sums(sums: DataFrame) -> DataFrame:
     return sums.select(
         "month",
         "city",
-        F.round("gmv", 2).alias("gmv"),
+        F.round(F.when(F.col("gmv_known") > 0, F.col("gmv")), 2).alias("gmv"),
         "number_of_orders",
         "unique_customers",
         F.round(rate(F.col("repeat_customers"), F.col("unique_customers")), 4).alias(
