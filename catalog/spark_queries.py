@@ -11,27 +11,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from catalog.star_adapter import BROKEN_LANES, CITIES, earlier_market, star_market
 from lanewise import Marketplace
 from lanewise.functions.columns import decimals_as_double
+from lanewise.functions.grouped_quantiles import grouped_quantiles
 from lanewise.operators import (
     cohorts,
     features,
     integrity,
+    intervals,
     lanes,
     metrics,
     profile,
     reconcile,
     scenarios,
+    sketches,
     slices,
 )
+from lanewise.operators.table_diff import table_diff
+from lanewise.operators.top_k import top_groups
 from lanewise.plans.cube import Slice, SliceCube
 from lanewise.plans.dashboard import reports
 from lanewise.plans.mart_set import MartSet
 from lanewise.plans.publish import MARTS, publish_marts, publish_set, refresh_set
 from lanewise.session import tune
-from lanewise.sources.marts import shared_folder
+from lanewise.sources.buckets import BucketedMarts
+from lanewise.sources.marts import shared_folder, write_mart
 
 
 def _publish(m: Marketplace) -> DataFrame:
@@ -53,6 +60,47 @@ def _mart_set_refreshed(m: Marketplace) -> DataFrame:
     return _listed(refresh_set(m, root, changed, BROKEN_LANES))
 
 
+def _bucketed_fees(m: Marketplace) -> DataFrame:
+    """Items joined to their orders on marts that are bucketed by order."""
+    spark = m.orders.sparkSession
+    marts = {"orders_enriched": m.orders_enriched, "items_enriched": m.items_enriched}
+    folder = shared_folder(spark, "bucketed")
+    BucketedMarts.write(marts, folder, "order_id", buckets=8)
+    stored = BucketedMarts.open(spark, folder)
+    return metrics.fees_month_city(stored.table("items_enriched"), stored.table("orders_enriched"))
+
+
+def _approx_distincts(m: Marketplace) -> DataFrame:
+    """Estimates per city from sketches stored per month, city, category and carrier."""
+    folder = shared_folder(m.orders.sparkSession, "sketches")
+    cells = write_mart(sketches.distinct_sketches(m.dashboard_lines), folder, "distinct_sketches")
+    return sketches.compared_counts(cells, m.dashboard_lines, ["city"])
+
+
+def _orders_diff(m: Marketplace) -> DataFrame:
+    """The orders against a copy that lacks one, has one changed and one twice."""
+    order_id = F.col("order_id")
+    status = F.when(order_id == 202, "Changed").otherwise(F.col("status"))
+    other = m.orders.where(order_id != 101).withColumn("status", status)
+    return table_diff(m.orders, other.unionByName(m.orders.where(order_id == 303)), ["order_id"])
+
+
+def _from_csv(m: Marketplace) -> Marketplace:
+    """The six tables written as CSV with text ids, and read as the library reads them."""
+    spark = m.orders.sparkSession
+    root = shared_folder(spark, "csv")
+    for name, df in m.tables.items():
+        ids = [c for c in df.columns if c.endswith("_id")]
+        text = df.withColumns({c: F.concat(F.lit(c[:3]), F.col(c).cast("string")) for c in ids})
+        text.write.option("header", True).option("escape", '"').csv(f"{root}/{name}.csv")
+    return Marketplace.read(spark, root, "csv", key_type=StringType())
+
+
+def _b1_from_csv(m: Marketplace) -> DataFrame:
+    read = _from_csv(m)
+    return metrics.b1_city_month_metrics(read.activity, read.customers)
+
+
 def _listed(published: MartSet) -> DataFrame:
     return published.listing().where(F.col("name").isin(*MARTS)).drop("size_bytes")
 
@@ -150,6 +198,10 @@ OPERATORS: dict[str, Callable[[Marketplace], DataFrame]] = {
     "publish_marts": _publish,
     "mart_set": _mart_set,
     "mart_set_refreshed": _mart_set_refreshed,
+    "bucketed_fees_month_city": _bucketed_fees,
+    "orders_diff": _orders_diff,
+    "csv_b1_city_month_metrics": _b1_from_csv,
+    "csv_customer_first_order": lambda m: _from_csv(m).customer_first_order,
     # monthly and delay metrics
     "gmv_month_city_category": lambda m: m.gmv_cells,
     "gmv_month_city": lambda m: metrics.gmv_month_city(m.gmv_cells),
@@ -255,6 +307,19 @@ OPERATORS: dict[str, Callable[[Marketplace], DataFrame]] = {
     "lateness_mix": lambda m: metrics.lateness_mix(m.shipments),
     "lane_month_zscore": lambda m: metrics.lane_month_zscore(m.shipments),
     "shipments_per_day": lambda m: metrics.shipments_per_day(m.shipments),
+    "carrier_load_week": lambda m: metrics.carrier_load(m.shipments),
+    "repeat_curve_censored": lambda m: cohorts.repeat_curve_censored(m.delivered_history),
+    "deliveries_before": lambda m: intervals.deliveries_before(m.delivered_history),
+    "lane_delay_quartiles": lambda m: grouped_quantiles(
+        m.shipments_timed, ("carrier", "ship_to_city"), "delivery_delay_days", (0.25, 0.5, 0.75)
+    ),
+    "seller_gmv_quartiles": lambda m: grouped_quantiles(
+        m.items_enriched, ("seller_id",), "gmv_line", (0.25, 0.5, 0.75)
+    ),
+    "top_seller_products": lambda m: top_groups(
+        m.items_enriched, ("seller_id", "product_id"), "gmv_line", 20
+    ),
+    "approx_distincts": _approx_distincts,
     "repeat_curve": lambda m: cohorts.repeat_curve(m.delivered_history),
     "lane_month_stability": lambda m: metrics.lane_month_stability(m.shipments),
     "lane_seller_mix": lambda m: lanes.lane_seller_mix(m.order_items, m.shipments),

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanewise.sources.marts import shared_folder, write_mart
+
 
 def rows_from(df: DataFrame, rows: Sequence[Mapping[str, Column]]) -> DataFrame:
     """Turn each row of `df` into the given rows; the mappings name the output columns."""
@@ -42,6 +44,11 @@ def roll_up_dimensions(
     return named.groupBy("dimension", "value").agg(*[F.sum(s).alias(s) for s in sums])
 
 
+def cells(df: DataFrame) -> DataFrame:
+    """The cells of a pivot, stored: the columns and the pivot itself are both taken from them."""
+    return write_mart(df, shared_folder(df.sparkSession, "cells"), "cells")
+
+
 def domain(df: DataFrame, column: str, listed: Sequence | None = None) -> list:
     """The distinct values of a column in order, for the columns of a pivot.
 

@@ -127,6 +127,49 @@ def repeat_curve(history: DataFrame, window_days: int = 90) -> DataFrame:
     )
 
 
+def repeat_curve_censored(
+    history: DataFrame, max_days: int = 180, open_outcome: str = "Delayed"
+) -> DataFrame:
+    """The same share by the product-limit estimate, with customers of any observation time.
+
+    A customer counts as long as seen: until the next delivery, or until the data end. On each
+    day with returns the share of those still at risk who come back that day is taken off
+    from what is left. Days are counted up to whole ones for returns (within `d` days means
+    day `d` or earlier) and down for the end of the data. Where nobody's observation ends
+    before, the share is that of `b2_first_delay_repeat` for the same window.
+    """
+    last_event = history.agg(F.max("event_at")).scalar()
+    outcome = F.col("first_outcome")
+    back = F.ceil(F.timestamp_diff("SECOND", "first_at", "next_at") / 86_400)
+    seen = F.floor(F.timestamp_diff("SECOND", "first_at", F.col("last_event")) / 86_400)
+    per_day = (
+        first_and_next(history)
+        .withColumn("last_event", last_event)
+        .select(
+            F.when(outcome == OPEN, F.lit(open_outcome)).otherwise(outcome).alias(FIRST_STATUS),
+            F.coalesce(back, seen).cast("int").alias("day"),
+            back.isNotNull().alias("came_back"),
+        )
+        .groupBy(FIRST_STATUS, "day")
+        .agg(F.count_if("came_back").alias("repeated"), F.count(F.lit(1)).alias("gone"))
+    )
+    # At most one row per day in a cohort.
+    cohort = Window.partitionBy(FIRST_STATUS)
+    by_day = cohort.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = cohort.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.sum("gone").over(cohort) - F.coalesce(F.sum("gone").over(earlier), F.lit(0))
+    stays = F.col("at_risk") - F.col("repeated")
+    log_share = F.when(stays > 0, F.log(stays / F.col("at_risk")))
+    nobody = F.max(F.when(stays == 0, 1).otherwise(0)).over(by_day) == 1
+    share = F.when(nobody, F.lit(1.0)).otherwise(1 - F.exp(F.sum(log_share).over(by_day)))
+    return (
+        per_day.withColumn("at_risk", left)
+        .withColumn("share", F.round(share, 6))
+        .filter((F.col("repeated") > 0) & (F.col("day") <= max_days))
+        .select(FIRST_STATUS, "day", "at_risk", "repeated", "share")
+    )
+
+
 def b2_first_delay_repeat(
     history: DataFrame, window_days: int = 90, open_outcome: str = "Delayed"
 ) -> DataFrame:
@@ -186,9 +229,8 @@ def cohort_spot_check(
     )
     event = F.col("event_at")
     return (
-        # n rows per cohort on the small side.
         delivered.select("customer_id", "event_at")
-        .join(F.broadcast(sample), "customer_id")
+        .join(sample, "customer_id")
         .groupBy("customer_id", F.col(FIRST_STATUS).alias("cohort"), "first_delivered_at")
         .agg(
             F.count(F.lit(1)).alias("delivered_orders_total"),

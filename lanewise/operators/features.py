@@ -27,6 +27,7 @@ SHIPMENT_COLUMNS = (
     "delivery_status",
 )
 SHIPMENT_FEATURES = ("delivery_delay_days", "is_delayed", "lane", "delivered_month")
+# The published line mart has these item columns, in this order.
 LINE_ITEM_COLUMNS = (
     "order_id",
     "product_id",

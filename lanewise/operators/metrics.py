@@ -15,6 +15,7 @@ from lanewise.functions.columns import (
     month_text,
     rate,
 )
+from lanewise.functions.reshape import cells as stored_cells
 from lanewise.functions.reshape import domain
 
 # GMV ---------------------------------------------------------------------------------
@@ -48,6 +49,7 @@ def gmv_city_month_pivot(cells: DataFrame, months: Sequence[str] | None = None)
 
     Without a list the months are those of the cells; a list must name all of them.
     """
+    cells = stored_cells(cells)
     months = domain(cells, "order_month", months)
     in_millions = F.bround(F.col("gmv").cast("double") / 1e6, 2)
     # At most one row per month in a city.
@@ -108,6 +110,21 @@ def customer_month_activity(orders: DataFrame) -> DataFrame:
     )
 
 
+def fees_month_city(items: DataFrame, orders: DataFrame) -> DataFrame:
+    """Items, GMV, GMV after discount and platform fee per order month and customer city."""
+    return (
+        items.select("order_id", "gmv_line", "gmv_after_disc", "platform_fee")
+        .join(orders.select("order_id", "order_month", "city"), "order_id")
+        .groupBy("order_month", "city")
+        .agg(
+            F.count(F.lit(1)).alias("items"),
+            F.sum("gmv_line").alias("gmv"),
+            F.sum("gmv_after_disc").alias("gmv_after_disc"),
+            F.sum("platform_fee").alias("platform_fee"),
+        )
+    )
+
+
 def orders_active_month(orders: DataFrame) -> DataFrame:
     """Orders, active customers, GMV and orders per customer by order month."""
     return (
@@ -231,7 +248,7 @@ def delay_city_carrier_pivot(
 
     Without a list the carriers are those of the shipments; a list must name all of them.
     """
-    rates = delay_rates(shipments, "ship_to_city", "carrier", digits=3)
+    rates = stored_cells(delay_rates(shipments, "ship_to_city", "carrier", digits=3))
     return (
         rates.groupBy("ship_to_city")
         .pivot("carrier", domain(rates, "carrier", carriers))
@@ -269,6 +286,36 @@ def shipments_per_day(shipments: DataFrame) -> DataFrame:
     return shipments.groupBy("carrier", day).agg(F.count(F.lit(1)).alias("shipments"))
 
 
+def carrier_load(shipments: DataFrame, days: int = 7) -> DataFrame:
+    """Each carrier's load over the last days, and how much of it was late, for every day.
+
+    Days without a shipment between a carrier's first and last are filled in. The frame is by
+    time, not by rows, over one row per day and carrier.
+    """
+    delayed = is_delayed(F.col("delivery_status"))
+    daily = (
+        shipments.filter(F.col("shipped_at").isNotNull() & F.col("carrier").isNotNull())
+        .groupBy("carrier", F.to_date("shipped_at").alias("day"))
+        .agg(
+            F.count(F.lit(1)).alias("shipments"),
+            count_where(delayed.isNotNull()).alias("known"),
+            count_where(delayed).alias("late"),
+        )
+    )
+    calendar = daily.groupBy("carrier").agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    calendar = calendar.select("carrier", F.explode(F.sequence("first", "last")).alias("day"))
+    filled = calendar.join(daily, ["carrier", "day"], "left").na.fill(0, ["shipments", "known", "late"])
+    number = F.datediff("day", F.lit("1970-01-01"))
+    lately = Window.partitionBy("carrier").orderBy(number).rangeBetween(1 - days, Window.currentRow)
+    return filled.select(
+        "carrier",
+        "day",
+        "shipments",
+        F.sum("shipments").over(lately).alias("load"),
+        rate(F.sum("late").over(lately), F.sum("known").over(lately)).alias("delayed_rate"),
+    )
+
+
 def lateness_mix(shipments: DataFrame) -> DataFrame:
     """How failed deliveries split over the lateness buckets, and their share of all known."""
     status = F.col("delivery_status")

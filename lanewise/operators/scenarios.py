@@ -18,6 +18,7 @@ from lanewise.functions.columns import (
 from lanewise.functions.reshape import rows_from
 
 LANE = ("carrier", "ship_to_city")
+# Shift names, rate labels and policy names stand in published marts.
 SHIFTS = {"now": 0, "p1": 1, "p2": 2, "p3": 3, "m1": -1}
 RATE_LABELS = {
     "m1": "tighten -1d",
@@ -43,11 +44,9 @@ def _zero_if_none(total: Column) -> Column:
 
 
 def in_lanes(lanes: Sequence[tuple[str, str]]) -> Column:
-    """True on the given (carrier, destination) pairs."""
-    chosen = F.lit(False)
-    for carrier, city in lanes:
-        chosen = chosen | ((F.col("carrier") == carrier) & (F.col("ship_to_city") == city))
-    return chosen
+    """True on the given (carrier, destination) pairs: one lookup, however many they are."""
+    pairs = [F.struct(F.lit(carrier), F.lit(city)) for carrier, city in lanes]
+    return F.struct(*LANE).isin(pairs) if pairs else F.lit(False)
 
 
 def with_flags(shipments: DataFrame, shifts: Mapping[str, int] = SHIFTS) -> DataFrame:

@@ -25,7 +25,7 @@ from lanewise.functions.columns import (
     rate,
     severity,
 )
-from lanewise.functions.reshape import domain, roll_up_dimensions
+from lanewise.functions.reshape import cells, domain, roll_up_dimensions
 from lanewise.operators.features import LINE_ORDER_COLUMNS
 
 LANE = ("carrier", "ship_to_city")
@@ -289,7 +289,7 @@ def lane_grid_pivot(lines: DataFrame, cities: Sequence[str] | None = None) -> Da
 
     Without a list the cities are those of the grid; a list must name all of them.
     """
-    grid = lane_grid(lines)
+    grid = cells(lane_grid(lines))
     cities = domain(grid, "ship_to_city", cities)
     wide = (
         grid.groupBy("carrier")

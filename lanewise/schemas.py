@@ -104,6 +104,24 @@ def read_as(raw: DataFrame, field: T.StructField, key_type: T.DataType | None =
     return column.cast(wanted).alias(field.name)
 
 
+def checked(field: T.StructField, key_type: T.DataType) -> tuple[Column, Column]:
+    """A text column in its declared type, null if that cannot be, and why not, else null."""
+    text, wanted = F.col(f"`{field.name}`"), field.dataType
+    if field.name.endswith("_id"):
+        wanted = key_type
+    digits = F.lit(False)
+    if isinstance(wanted, T.DecimalType):
+        wanted = T.DecimalType(wanted.precision - wanted.scale + READ_SCALE, READ_SCALE)
+        fraction = F.regexp_replace(F.regexp_extract(text, r"\.([0-9]*)", 1), "0+$", "")
+        digits = F.length(fraction) > READ_SCALE
+    value = text.try_cast(wanted)
+    problem = F.when(text.isNotNull() & value.isNull(), F.lit(f"{field.name}: no {wanted.simpleString()}"))
+    problem = problem.when(digits, F.lit(f"{field.name}: more digits than can be kept"))
+    if not field.nullable:
+        problem = problem.when(text.isNull(), F.lit(f"{field.name}: empty"))
+    return value, problem
+
+
 def exact_type(found: T.DataType) -> T.DataType:
     """The type in which a decimal is compared with the value that it was read from."""
     return found if isinstance(found, T.NumericType) else T.DecimalType(38, 18)

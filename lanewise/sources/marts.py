@@ -36,10 +36,9 @@ def write_mart(
 
 
 def size_on_storage(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.getContentSummary(target).getLength()
+    """Bytes of the parquet files under a folder, from their listing; nothing is read."""
+    files = spark.read.format("binaryFile").options(pathGlobFilter="*.parquet", recursiveFileLookup=True)
+    return files.load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
 def manifest(spark: SparkSession, out_dir: str, names: Iterable[str]) -> DataFrame:
