@@ -47,7 +47,7 @@ def _late_sums() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("delivered_orders"),
         count_where(F.col("late")).alias("late"),
-        F.sum(late_days).alias("late_days"),
+        F.coalesce(F.sum(late_days), F.lit(0)).alias("late_days"),
         F.count(late_days).alias("late_known"),
     ]
 
@@ -140,7 +140,11 @@ def lane_sums(orders: DataFrame, items: DataFrame, shipments: DataFrame) -> Data
         delivered_orders(orders, shipments)
         .join(gmv, "order_id", "left")
         .groupBy(*LANE)
-        .agg(*_late_sums(), F.sum("gmv").alias("total_gmv"), F.count("gmv").alias("gmv_known"))
+        .agg(
+            *_late_sums(),
+            F.coalesce(F.sum("gmv"), F.lit(0)).alias("total_gmv"),
+            F.count("gmv").alias("gmv_known"),
+        )
     )
 
 

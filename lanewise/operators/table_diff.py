@@ -21,6 +21,32 @@ def _range(level: int) -> Column:
     return F.shiftrightunsigned("_place", 64 - LEVEL_BITS * level)
 
 
+def unequal_ranges(digests: Sequence[DataFrame], folder: str) -> tuple[int, DataFrame]:
+    """The level at which ranges are opened, and the `range` numbers there that differ, with
+    how many `rows` they have on both sides; digests are `_place, hash` of the two tables."""
+    level, differing = 0, None
+    while level * LEVEL_BITS < 60:
+        level += 1
+        summed = None
+        for sign, digest in zip((1, -1), digests):
+            if differing is not None:
+                digest = digest.join(differing, _range(level - 1) == differing["range"], "left_semi")
+            part = digest.groupBy(_range(level).alias("range")).agg(
+                (sign * F.count(F.lit(1))).alias("n"),
+                (sign * hash_sum(F.col("hash"))).alias("hash"),
+                F.count(F.lit(1)).alias("rows"),
+            )
+            summed = part if summed is None else summed.unionByName(part)
+        ranges = summed.groupBy("range").agg(*[F.sum(c).alias(c) for c in ("n", "hash", "rows")])
+        unequal = ranges.where((F.col("n") != 0) | (F.col("hash") != 0)).select("range", "rows")
+        differing = write_mart(unequal, folder, f"level-{level}")
+        n, rows = differing.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+        if rows <= n * OPEN_ROWS:
+            break
+
+    return level, differing
+
+
 def table_diff(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows that only one of two tables has: `side`, `n` more than the other, and all columns.
 
@@ -42,26 +68,7 @@ def table_diff(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
         digest = df.select(place, row_hash(df).alias("hash"))
         digests[name] = write_mart(digest, folder, f"digests-{name}")
 
-    level, differing = 0, None
-    while level * LEVEL_BITS < 60:
-        level += 1
-        summed = None
-        for sign, digest in zip((1, -1), digests.values()):
-            if differing is not None:
-                digest = digest.join(differing, _range(level - 1) == differing["range"], "left_semi")
-            part = digest.groupBy(_range(level).alias("range")).agg(
-                (sign * F.count(F.lit(1))).alias("n"),
-                (sign * hash_sum(F.col("hash"))).alias("hash"),
-                F.count(F.lit(1)).alias("rows"),
-            )
-            summed = part if summed is None else summed.unionByName(part)
-        ranges = summed.groupBy("range").agg(*[F.sum(c).alias(c) for c in ("n", "hash", "rows")])
-        unequal = ranges.where((F.col("n") != 0) | (F.col("hash") != 0)).select("range", "rows")
-        differing = write_mart(unequal, folder, f"level-{level}")
-        n, rows = differing.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-        if rows <= n * OPEN_ROWS:
-            break
-
+    level, differing = unequal_ranges(list(digests.values()), folder)
     signed = None
     for sign, df in zip((1, -1), sides.values()):
         opened = df.withColumn("_place", place).join(differing, _range(level) == differing["range"], "left_semi")
