@@ -21,6 +21,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are worked through in pieces of about this many bytes, whatever the batch size is.
 CHUNK_BYTES = 2 << 20
 
+#: Bounds of the Arrow batches between Spark and Python, whichever is reached first.
+BATCH_ROWS = 2_000
+BATCH_BYTES = 8 << 20
+
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -61,6 +65,12 @@ def ship_package(spark: SparkSession) -> None:
     context._lanewise_shipped = True
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session be small: a worker holds a few copies of one at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def texts(
     docs: DataFrame, id_col: str, text_col: str, carry: bool = False, **more: Column
 ) -> DataFrame:
@@ -69,6 +79,7 @@ def texts(
     The struct keeps all other columns apart, whatever their names are.
     """
     ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     columns = [docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")]
     if carry:
         columns.append(F.struct(*[docs[c] for c in docs.columns]).alias("row"))

@@ -59,8 +59,9 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, carry: bool) -> DataFrame:
-    """`doc_id, fp` (64 bits as a long), and `row` with `carry`."""
-    rows = texts(docs, id_col, text_col, carry)
+    """`doc_id, fp` (64 bits as a long), and with `carry` the `row` and a hash of its text, `tie`."""
+    tie = {"tie": F.xxhash64(docs[text_col])} if carry else {}
+    rows = texts(docs, id_col, text_col, carry, **tie)
 
     def run(batches):
         for batch in batches:
@@ -262,15 +263,23 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def classes_of(plain: DataFrame, max_bits: int) -> DataFrame:
+    """`fp, root, component_id` of every fingerprint of the stored rows `doc_id, fp`."""
+    nodes = stored(plain.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
+    roots = components(near_pairs(nodes.select("fp"), nodes.count(), max_bits))
+    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return stored(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     shingle: int = SHINGLE,
     max_bits: int = MAX_BITS,
-    carry: bool = False,
 ) -> DataFrame:
-    """`doc_id, fingerprint, component_id` for every row (and `row`, `root` with `carry`).
+    """`doc_id, fingerprint, component_id` for every row.
 
     Fingerprints within `max_bits` differing bits are linked; `component_id` is the smallest
     doc_id that links reach. Equal fingerprints are one node, so copies are never paired.
@@ -278,28 +287,31 @@ def near_duplicates(
     an id get the smallest id of their component too, null if there is none. Repeated rows
     share a component; an empty table gives an empty result; only the named columns are read.
     """
-    rows = fingerprints(docs, id_col, text_col, shingle, carry)
-    if not carry:
-        rows = stored(rows, "fingerprints")
-        plain = rows
-    else:
-        plain = stored(rows.select("doc_id", "fp"), "fingerprints")
-    nodes = stored(plain.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
-    roots = components(near_pairs(nodes.select("fp"), nodes.count(), max_bits))
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = stored(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
-    out = rows.join(classes, "fp")
-    return out.select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
-        *(["row", "root"] if carry else []),
+    rows = stored(fingerprints(docs, id_col, text_col, shingle, carry=False), "fingerprints")
+    return rows.join(classes_of(rows, max_bits), "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """One row of `docs` for each group of near duplicates: one with the group's smallest id."""
-    rows = near_duplicates(docs, carry=True, **options)
-    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return first.dropDuplicates(["root"]).select("row.*")
+def one_per_group(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    max_bits: int = MAX_BITS,
+) -> DataFrame:
+    """One row of `docs` for each group of near duplicates: the one with the smallest id.
+
+    Rows without an id come last. Of several rows with that id the one with the smallest hash
+    of its text stays, and of rows alike in both the first as stored. Fingerprints are computed
+    once, with the rows; who stays is settled on narrow rows, and the rows that go are taken
+    out of the stored ones. These are few as a rule, so that texts are then not shuffled.
+    """
+    found = fingerprints(docs, id_col, text_col, shingle, carry=True)
+    rows = stored(found.withColumn("place", F.monotonically_increasing_id()), "fingerprints")
+    narrow = rows.select("place", "doc_id", "fp", "tie")
+    roots = classes_of(narrow, max_bits).select("fp", "root")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tie", "place")
+    first = narrow.join(roots, "fp").groupBy("root").agg(F.min(order).alias("first"))
+    gone = narrow.select("place").join(first.select("first.place"), "place", "left_anti")
+    return rows.join(stored(gone, "duplicates"), "place", "left_anti").select("row.*")
