@@ -27,6 +27,8 @@ SAMPLE_PER_LANGUAGE = 600
 EPOCHS = 30
 #: A document whose calibrated probability is lower is rejected.
 REJECT_BELOW = 0.5
+#: Share of the calibration rows that may lie beyond the reach before it is widened.
+FALSE_REJECTIONS = 0.01
 UNDETERMINED = "und"
 
 #: Letters, lower-cased in ASCII, and all bytes of non-ASCII characters; the rest is a blank.
@@ -57,20 +59,42 @@ def has_letter(text: bytes) -> bool:
 
 @dataclass
 class LanguageModel:
-    """Log-odds of each bucket (embedding times softmax weights), bias, and temperature."""
+    """Log-odds of each bucket (embedding times softmax weights), bias, and temperature.
+
+    For rejection also how usual each bucket is in a language (its log share), the mean and
+    spread that texts of the language have of that, and how far below is still accepted.
+    """
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
+    usual: np.ndarray
+    centre: np.ndarray
+    between: np.ndarray
+    within: np.ndarray
+    reach: float
+
+    def judge(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Per text the softmax of the mean over its pieces, and how many deviations less usual
+        the pieces are than those of texts in the likeliest language."""
+        logits, unusual = np.zeros((len(values), len(self.languages))), np.zeros(len(values))
+        for i, value in enumerate(values):
+            buckets, counts = np.unique(subword_buckets(value), return_counts=True)
+            n = max(1, counts.sum())
+            logits[i] = counts @ self.table[buckets] / n + self.bias
+            k = int(logits[i].argmax())
+            mean = counts @ self.usual[buckets, k] / n
+            unusual[i] = (self.centre[k] - mean) / np.sqrt(self.between[k] + self.within[k] / n)
+        return softmax(logits / self.temperature), unusual
 
     def probabilities(self, values: list[bytes]) -> np.ndarray:
-        """One row per text: the softmax of the mean over its pieces."""
-        logits = np.zeros((len(values), len(self.languages)))
-        for i, value in enumerate(values):
-            counts = np.bincount(subword_buckets(value), minlength=BUCKETS)
-            logits[i] = counts @ self.table / max(1, counts.sum()) + self.bias
-        return softmax(logits / self.temperature)
+        return self.judge(values)[0]
+
+    def rejects(self, values: list[bytes], below: float) -> np.ndarray:
+        """Texts that are no known language's: an unsure choice, or pieces unusual for it."""
+        p, unusual = self.judge(values)
+        return (p.max(axis=1) < below) | (unusual > self.reach)
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -87,9 +111,23 @@ def best_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def fit(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 5) -> LanguageModel:
-    """Stochastic gradient descent on embeddings and softmax weights; every fifth row calibrates."""
+@dataclass
+class Sample:
+    """A training text: its buckets, their shares of its pieces, the number of pieces, the language."""
+
+    buckets: np.ndarray
+    shares: np.ndarray
+    pieces: int
+    lang: int
+
+
+def fit(sample: list[Sample], languages: list[str], seed: int = 5) -> LanguageModel:
+    """Stochastic gradient descent on embeddings and softmax weights; every fifth row calibrates.
+
+    Rows are kept sparse; only those of one step are spread over all buckets.
+    """
     rng = np.random.default_rng(seed)
+    y = np.array([row.lang for row in sample])
     order = rng.permutation(len(y))
     check, train = order[::5], np.delete(order, np.s_[::5])
     if not len(train):
@@ -101,17 +139,54 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 5) -> La
     for epoch in range(EPOCHS):
         rate = 2.0 * (1 - epoch / EPOCHS)
         for batch in np.array_split(rng.permutation(train), max(1, len(train) // 32)):
-            hidden = x[batch] @ embedding
+            x = np.zeros((len(batch), BUCKETS), np.float32)
+            for i, k in enumerate(batch):
+                x[i, sample[k].buckets] = sample[k].shares
+            hidden = x @ embedding
             error = softmax(hidden @ weights + bias)
             error[np.arange(len(batch)), y[batch]] -= 1
             error = (error / len(batch)).astype(np.float32)
-            back = x[batch].T @ (error @ weights.T)
+            back = x.T @ (error @ weights.T)
             weights -= rate * hidden.T @ error
             bias -= rate * error.sum(axis=0)
             embedding -= rate * 20 * back
     table = embedding.astype(np.float64) @ weights
-    logits = x[check].astype(np.float64) @ table + bias
-    return LanguageModel(languages, table, bias.astype(np.float64), best_temperature(logits, y[check]))
+    logits = np.stack([sample[k].shares @ table[sample[k].buckets] for k in check]) + bias
+    return LanguageModel(
+        languages,
+        table,
+        bias.astype(np.float64),
+        best_temperature(logits, y[check]),
+        *usualness([sample[k] for k in train], [sample[k] for k in check], n),
+    )
+
+
+def usualness(train: list[Sample], check: list[Sample], n: int) -> tuple:
+    """Log shares of the buckets per language from the training rows; from the others, per
+    language, centre and spread of a text's mean, and of single pieces; and the accepted reach.
+
+    The reach is such that about FALSE_REJECTIONS of the calibration rows lie beyond, widened
+    by half for what so few rows cannot show.
+    """
+    shares = np.zeros((BUCKETS, n))
+    for row in train:
+        shares[row.buckets, row.lang] += row.shares
+    totals = np.maximum(shares.sum(axis=0), 1e-9)
+    usual = np.log(shares / totals + 1e-6)
+    means = np.array([row.shares @ usual[row.buckets, row.lang] for row in check])
+    squares = np.array([row.shares @ usual[row.buckets, row.lang] ** 2 for row in check])
+    pieces = np.array([max(1, row.pieces) for row in check])
+    lang = np.array([row.lang for row in check])
+    spread = np.maximum(squares - means**2, 0)
+    centre, between, within = np.zeros(n), np.ones(n), np.ones(n)
+    for k in range(n):
+        rows = lang == k if (lang == k).sum() >= 5 else np.ones(len(lang), bool)
+        long = rows & (pieces >= np.median(pieces[rows]))
+        centre[k], within[k] = np.median(means[long]), spread[rows].mean() + 1e-6
+        between[k] = max(((means[long] - centre[k]) ** 2).mean(), 1e-4)
+    deviations = (centre[lang] - means) / np.sqrt(between[lang] + within[lang] / pieces)
+    reach = 1.5 * max(3.0, float(np.quantile(deviations, 1 - FALSE_REJECTIONS)))
+    return usual, centre, between, within, reach
 
 
 def train(
@@ -159,24 +234,31 @@ def train(
                     batch.column("lang"),
                     pa.array([k.astype(np.int32).tobytes() for k, _ in found], pa.binary()),
                     pa.array([(c / max(1, c.sum())).astype(np.float32).tobytes() for _, c in found], pa.binary()),
+                    pa.array([int(c.sum()) for _, c in found], pa.int64()),
                 ],
-                names=["lang", "buckets", "shares"],
+                names=["lang", "buckets", "shares", "pieces"],
             )
 
     found = (
         sample.select("lang", "text")
-        .mapInArrow(counted, "lang string, buckets binary, shares binary")
+        .mapInArrow(counted, "lang string, buckets binary, shares binary, pieces long")
         .orderBy("lang", "buckets", "shares")
         .collect()
     )
     if not found:
         return None
     languages = sorted({r["lang"] for r in found})
-    x = np.zeros((len(found), BUCKETS), np.float32)
-    for i, r in enumerate(found):
-        x[i, np.frombuffer(r["buckets"], np.int32)] = np.frombuffer(r["shares"], np.float32)
-    y = np.array([languages.index(r["lang"]) for r in found])
-    return fit(x, y, languages)
+    numbers = {lang: i for i, lang in enumerate(languages)}
+    sample = [
+        Sample(
+            np.frombuffer(r["buckets"], np.int32),
+            np.frombuffer(r["shares"], np.float32),
+            r["pieces"],
+            numbers[r["lang"]],
+        )
+        for r in found
+    ]
+    return fit(sample, languages)
 
 
 def identify(
@@ -191,7 +273,8 @@ def identify(
 
     `score` is the calibrated probability of `lang_pred`. A text that is null or has no letter
     is `und` with score 0 and rejected, as is everything without a model; other rows are
-    rejected where the score is under `reject_below`. Repeated rows score alike, an empty table
+    rejected where the score is under `reject_below`, or where the pieces are less usual in the
+    predicted language than those of nearly all texts that calibrated the model. Repeated rows score alike, an empty table
     gives an empty result, and only the named columns are read.
     """
     rows = texts(docs, id_col, text_col, carry)
@@ -204,19 +287,21 @@ def identify(
             values = encoded(batch)
             langs: list[str] = []
             scores: list[float] = []
+            rejected: list[bool] = []
             for start, end in in_chunks(values):
                 part = values[start:end]
                 if learned is None:
                     langs += [UNDETERMINED] * len(part)
                     scores += [0.0] * len(part)
+                    rejected += [True] * len(part)
                     continue
-                p = learned.probabilities(part)
+                p, unusual = learned.judge(part)
                 best = p.argmax(axis=1)
-                for value, k, row in zip(part, best, p):
+                for value, k, row, far in zip(part, best, p, unusual > learned.reach):
                     known = has_letter(value)
                     langs.append(learned.languages[k] if known else UNDETERMINED)
                     scores.append(float(row[k]) if known else 0.0)
-            rejected = [g == UNDETERMINED or s < reject_below for g, s in zip(langs, scores)]
+                    rejected.append(not known or bool(far) or scores[-1] < reject_below)
             yield with_columns(
                 batch,
                 lang_pred=pa.array(langs, pa.string()),

@@ -5,6 +5,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import check_oracle
 import corpus_pipeline
 from lanewise.llm import (
@@ -68,6 +70,28 @@ def test_language_on_held_out_rows(spark, sf001):
     assert len(held) > 100 and np.mean(held) > 0.99
 
 
+def test_language_left_out_is_rejected(spark):
+    """Nine in ten texts of a language that was not learned, and next to none of the others."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    for lang in ("es", "de"):
+        model = langid.train(table.where(F.col("lang") != lang))
+        judged = langid.identify(table, model).join(table.select("doc_id", "lang"), "doc_id")
+        unknown = F.avg(F.when(F.col("lang") == lang, F.col("rejected").cast("int")))
+        known = F.avg(F.when(F.col("lang") != lang, F.col("rejected").cast("int")))
+        left_out, others = judged.agg(unknown, known).first()
+        assert left_out >= 0.9 and others < 0.02, (lang, left_out, others)
+    odd = spark.createDataFrame([(1, "これは日本語の文章です。とても長い文です"), (2, "Это русский текст о погоде")], "doc_id long, text string")
+    assert all(r["rejected"] for r in langid.identify(odd, model).collect())
+
+
+def test_mix_without_ids(spark):
+    """A source without ids reaches its target like any other."""
+    rows = [(None, f"word {i} " * 5, "a") for i in range(100)] + [(i, "x y z", "b") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix_sources(docs).where("doc_id IS NULL").agg(F.sum("taken"), F.max("target"), F.max("size")).first()
+    assert abs(found[0] - found[1]) <= found[2]
+
+
 def test_token_store(spark, docs):
     tokenizer = token_store.load_tokenizer(queries.tokenizer_path())
     got, start = by_id(spark, "op4_token_store"), 0
@@ -118,8 +142,8 @@ def test_pipeline(spark, docs):
     model = langid.train(table)
     kept = []
     for row in docs.to_dict("records"):
-        p = model.probabilities([(row["text"] or "").encode()])[0]
-        if row["text"] and langid.has_letter(row["text"].encode()) and p.max() >= langid.REJECT_BELOW:
+        text = (row["text"] or "").encode()
+        if langid.has_letter(text) and not model.rejects([text], langid.REJECT_BELOW)[0]:
             kept.append(row)
     groups = brute.components([r["doc_id"] for r in kept], [brute.fingerprint(r["text"]) for r in kept])
     kept = [r for r, g in zip(kept, groups) if r["doc_id"] == g]
