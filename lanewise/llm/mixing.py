@@ -20,11 +20,14 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sampling_key(id_column: Column, seed: int) -> Column:
-    """A seeded pseudo-random order of the documents; rows of one id share their place."""
-    return F.md5(
-        F.concat(F.lit(f"{seed}:"), F.coalesce(id_column.cast("string"), F.lit("null"))).cast("binary")
-    )
+def sampling_key(id_column: Column, text: Column, seed: int) -> Column:
+    """A seeded pseudo-random order of the documents.
+
+    Rows of one id share their place; rows without an id go by their text.
+    """
+    nameless = F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    name = F.coalesce(id_column.cast("string"), nameless)
+    return F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
 
 
 def water_level(plan: DataFrame) -> float:
@@ -65,16 +68,17 @@ def mix_sources(
     once more if it comes early in the seeded order of its source, up to the point where the
     source's sum is nearest to its target. `copies` counts the repetitions, `taken` = copies * size.
 
-    Null text counts as empty; a null id has a fixed place in the order; rows with the same id
+    Null text counts as empty; rows with the same id, or without an id and with the same text,
     are taken alike. A source whose texts are all empty has target 0. An empty table gives an
     empty table. Columns of the input never clash, since only the named ones are read.
     """
     rows = texts(docs, id_col, text_col, carry, source=docs[source_col].cast("string"))
-    rows = rows.withColumn("size", text_size(F.col("text"))).drop("text")
-    sizes = rows.select("source", "size", sampling_key(F.col("doc_id"), seed).alias("key"))
-    sized = stored(sizes, "mix-sizes") if carry else (rows := stored(rows, "mix-sizes")).select(
-        "source", "size", sampling_key(F.col("doc_id"), seed).alias("key")
-    )
+    key = sampling_key(F.col("doc_id"), F.col("text"), seed)
+    rows = rows.withColumns({"size": text_size(F.col("text")), "key": key}).drop("text")
+    if not carry:
+        rows = stored(rows, "mix-sizes")
+    sized = rows.select("source", "size", "key")
+    sized = stored(sized, "mix-sizes") if carry else sized
 
     # One row per source: the only window over all of them.
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -141,7 +145,7 @@ def mix_sources(
 
     same = F.col("r.source").eqNullSafe(F.col("p.source"))
     out = rows.alias("r").join(plan.alias("p"), same)
-    once_more = (F.col("rest") > 0) & (sampling_key(F.col("doc_id"), seed) <= F.col("last_key"))
+    once_more = (F.col("rest") > 0) & (F.col("key") <= F.col("last_key"))
     copies = F.col("whole") + F.coalesce(once_more, F.lit(False)).cast("long")
     return out.select(
         "doc_id",
