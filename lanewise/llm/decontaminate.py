@@ -2,107 +2,88 @@
 
 from __future__ import annotations
 
-import hashlib
+import math
+import uuid
+import zlib
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanewise.llm.common import LOWER, encoded, output_schema, texts, with_columns
+from lanewise.llm.common import encoded, in_chunks, output_schema, stored, texts, with_columns
+from lanewise.llm.word_automaton import SEPARATED, UNKNOWN, Automaton, word_pieces
 
 WINDOW = 13
 #: Share of a document's words that must lie in hits: one in this many.
 HIT_SHARE = 20
-#: Bytes of benchmark text in one automaton. A larger benchmark is worked off in blocks.
-BLOCK_BYTES = 8 << 20
-
-#: ASCII bytes that are neither digits nor letters separate words; A-Z become a-z.
-SEPARATED = bytes(
-    b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in LOWER
-)
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(SEPARATED).split()
-
-
-def windows_of(words: list[bytes], window: int) -> Iterator[tuple[int, str]]:
-    """Length and space-enclosed text of each window; a shorter item is one window."""
-    size = min(window, len(words))
-    for i in range(len(words) - size + 1 if size else 0):
-        yield size, f" {b' '.join(words[i : i + size]).decode('latin-1')} "
-
-
-def automaton(items: list[tuple[str | None, bytes]], window: int) -> ahocorasick.Automaton:
-    """Maps each window to its number of words and the items that hold it."""
-    found: dict[str, tuple[int, set]] = {}
-    for item, text in items:
-        for size, key in windows_of(words_of(text), window):
-            found.setdefault(key, (size, set()))[1].add(item)
-    machine = ahocorasick.Automaton()
-    for key, (size, holders) in found.items():
-        machine.add_word(key, (size, len(key), tuple(holders)))
-    if found:
-        machine.make_automaton()
-    return machine
-
-
-def scan(machine: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-    """Hit word ranges (start, end) and the items hit, from one scan of the joined words."""
-    if not words or not len(machine):
-        return [], set()
-    text = b" " + b" ".join(words) + b" "
-    ranges, items, blanks = [], set(), None
-    for end, (size, length, holders) in machine.iter(text.decode("latin-1")):
-        if blanks is None:
-            blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20)
-        start = int(np.searchsorted(blanks, end - length + 1))
-        ranges.append((start, start + size))
-        items.update(holders)
-    return ranges, items
-
-
-def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(ranges):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((start, end))
-    return out
-
-
-def word_offsets(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word in the original text, in code points."""
+#: Bytes of benchmark text in one automaton: about 30 bytes of memory each, 75 while it is built.
+BLOCK_BYTES = 4 << 20
+#: Blocks broadcast at a time, one after another in the same tasks. More take further rounds.
+ROUND_BLOCKS = 16
+#: Bytes of documents held while the blocks of a round are gone through.
+SPAN_BYTES = 64 << 20
+#: Words of one piece of a benchmark item; longer items are cut into overlapping pieces.
+PIECE_WORDS = 100_000
+
+
+def word_spans(text: bytes, first: np.ndarray, last: np.ndarray) -> list[dict]:
+    """Start and end of word ranges, given by their first and last word, in code points."""
     data = np.frombuffer(text, np.uint8)
     inside = np.frombuffer(text.translate(SEPARATED), np.uint8) != 0x20
-    edges = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
-    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    return points[np.flatnonzero(edges == 1)], points[np.flatnonzero(edges == -1)]
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple]]:
-    """The benchmark's distinct items in blocks of at most BLOCK_BYTES and one item."""
-    items = (
-        benchmark.select(
-            benchmark[item_col].cast("string").alias("item"),
-            benchmark[text_col].cast("string").cast("binary").alias("text"),
-        )
-        .where(F.col("text").isNotNull())
-        .distinct()
-    )
-    blocks, size = [[]], 0
-    for row in items.toLocalIterator():
-        if size > BLOCK_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["item"], bytes(row["text"])))
-        size += len(row["text"])
-    return blocks
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+    starts, ends = edges[2 * first], edges[2 * last + 1]
+    inner = np.flatnonzero((data & 0xC0) == 0x80)
+    starts, ends = starts - np.searchsorted(inner, starts), ends - np.searchsorted(inner, ends)
+    return [{"start": s, "end": e} for s, e in zip(starts.tolist(), ends.tolist())]
+
+
+def _pieces(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """`item, text`: the distinct items as their words, the long ones in pieces.
+
+    Neighbouring pieces share a window's words less one, so each window is whole in one piece.
+    """
+    items = texts(benchmark, item_col, text_col).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+
+    def run(batches):
+        for batch in batches:
+            names, pieces = [], []
+            for name, text in zip(batch.column("doc_id").to_pylist(), encoded(batch)):
+                held: list[bytes] = []
+                for words in word_pieces(text):
+                    held += words
+                    while len(held) > PIECE_WORDS:
+                        names.append(name)
+                        pieces.append(b" ".join(held[:PIECE_WORDS]))
+                        held = held[PIECE_WORDS - window + 1 :]
+                names.append(name)
+                pieces.append(b" ".join(held))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(pieces, pa.binary())], names=["item", "text"]
+            )
+
+    return items.mapInArrow(run, "item string, text binary").where(F.length("text") > 0).distinct()
+
+
+def _rounds(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Iterator[list]:
+    """Names and broadcasts of the benchmark's blocks, at most ROUND_BLOCKS at a time.
+
+    Items are dealt to blocks by their hash; the driver holds one block at a time.
+    """
+    context = benchmark.sparkSession.sparkContext
+    pieces = stored(_pieces(benchmark, item_col, text_col, window), "benchmark-pieces")
+    size = pieces.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    number = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
+    for start in range(0, blocks, ROUND_BLOCKS):
+        found = []
+        for block in range(start, min(blocks, start + ROUND_BLOCKS)):
+            rows = pieces.where(number == block).collect()
+            packed = [(r["item"], zlib.compress(bytes(r["text"]), 1)) for r in rows]
+            found.append((uuid.uuid4().hex, context.broadcast(packed)))
+        yield found
 
 
 def decontaminate(
@@ -124,11 +105,14 @@ def decontaminate(
     `spans` holds start and end of the merged hits in code points of the original text.
     `contaminated`: at least one word in `hit_share` is hit.
 
-    The benchmark is a stated query set: its blocks are broadcast one automaton each, and the
-    documents pass through the automata in turn without a shuffle. Null text has no words. An
-    item without an id can be hit but is not listed. Empty tables give empty or hit-free results.
+    The benchmark is a stated query set. Its automaton is broadcast as text and built once in a
+    worker process; documents are scanned without a shuffle. A benchmark above BLOCK_BYTES is
+    dealt to blocks: a task holds one block's automaton at a time and leads its documents past
+    all of them. Beyond ROUND_BLOCKS blocks, rows are stored with their hits between rounds.
+
+    Null text has no words. An item without an id can be hit but is not listed. Empty tables
+    give empty or hit-free results. Repeated rows and items are judged each for itself.
     """
-    spark = docs.sparkSession
     rows = texts(docs, id_col, text_col, carry)
     schema = output_schema(
         rows,
@@ -138,71 +122,136 @@ def decontaminate(
         ("spans", "array<struct<start:long,end:long>>"),
         ("contaminated", "boolean"),
     )
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col)]
-    for block in blocks[:-1]:
-        rows = rows.mapInArrow(_scanned(block, window), _partial_schema(rows))
-    return rows.mapInArrow(_judged(blocks[-1], window, hit_share), schema)
-
-
+    waiting = None
+    for blocks in _rounds(benchmark, item_col, item_text_col, window):
+        if waiting is not None:
+            partial = T.StructType([f for f in rows.schema.fields if f.name not in FOUND.fieldNames()] + FOUND.fields)
+            rows = stored(rows.mapInArrow(_scanned(waiting, window), partial), "decontamination-round")
+        waiting = blocks
+    return rows.mapInArrow(_judged(waiting, window, hit_share), schema)
+
+
+#: What a round has found in a row.
+RANGE = T.StructType().add("s", "integer").add("e", "integer")
+FOUND = T.StructType().add("ranges", T.ArrayType(RANGE)).add("found", T.ArrayType(T.StringType()))
 RANGES = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+#: The last automaton of this worker process, by its block's name: bounded by BLOCK_BYTES.
+_built: dict[str, Automaton] = {}
 
-def _partial_schema(rows: DataFrame) -> T.StructType:
-    """The rows with what earlier blocks have found."""
-    found = T.StructType.fromDDL("ranges array<struct<s:int,e:int>>, found array<string>")
-    kept = [f for f in rows.schema.fields if f.name not in found.fieldNames()]
-    return T.StructType(kept + found.fields)
 
+def _automaton(block: tuple, window: int) -> Automaton:
+    name, packed = block
+    if name not in _built:
+        _built.clear()
+        _built[name] = Automaton([(item, zlib.decompress(text)) for item, text in packed.value], window)
+    return _built[name]
 
-def _hits(batch: pa.RecordBatch, machine, window: int) -> Iterator[tuple[bytes, int, list, list]]:
-    """Text, number of words, merged hit ranges and items of each row, earlier blocks included."""
-    n = batch.num_rows
-    earlier = "ranges" in batch.schema.names
-    ranges = batch.column("ranges").to_pylist() if earlier else [[]] * n
-    found = batch.column("found").to_pylist() if earlier else [[]] * n
-    for text, old, items in zip(encoded(batch), ranges, found):
-        words = words_of(text)
-        new, held = scan(machine, words)
-        spans = merged([(r["s"], r["e"]) for r in old] + new)
-        yield text, len(words), spans, sorted({*items, *(x for x in held if x is not None)})
 
+class Hits:
+    """What is known of the texts of a batch: words hit, and items."""
 
-def _scanned(block, window: int):
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch, self.values = batch, encoded(batch)
+        self.hit: list[np.ndarray | None] = [None] * len(self.values)
+        self.n_words = [0] * len(self.values)
+        self.items: list[set] = [set() for _ in self.values]
+        if "ranges" in batch.schema.names:
+            self.earlier = batch.column("ranges").to_pylist()
+            self.items = [set(found) for found in batch.column("found").to_pylist()]
+        else:
+            self.earlier = [[] for _ in self.values]
+
+    def scan(self, machine: Automaton) -> None:
+        for a, b in in_chunks(self.values):
+            parts = []
+            for i in range(a, b):
+                ids = machine.ids(self.values[i])
+                self.n_words[i] = len(ids)
+                parts += [ids, np.full(1, UNKNOWN, np.int32)]
+            sequence = np.concatenate(parts)
+            # Text by text, words and the place that parts them from the next text.
+            bounds = np.cumsum([0] + [self.n_words[i] + 1 for i in range(a, b)])
+            ends, nodes = machine.occurrences(sequence)
+            if not len(ends):
+                continue
+            change = np.zeros(len(sequence) + 1, np.int32)
+            np.add.at(change, ends + 1 - machine.depth(nodes), 1)
+            np.add.at(change, ends + 1, -1)
+            covered = np.cumsum(change[:-1]) > 0
+            text = np.searchsorted(bounds, ends, side="right") - 1
+            for i in np.unique(text).tolist():
+                mask = covered[bounds[i] : bounds[i + 1] - 1]
+                old = self.hit[a + i]
+                self.hit[a + i] = mask.copy() if old is None else old | mask
+            for key in np.unique(text << 32 | nodes).tolist():
+                names = (machine.names[j] for j in machine.items_of(key & 0xFFFFFFFF))
+                self.items[a + (key >> 32)].update(n for n in names if n is not None)
+
+    def ranges(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words and places after the last words of the merged hits."""
+        mask = self.hit[i]
+        if mask is None:
+            mask = np.zeros(self.n_words[i] if self.earlier[i] else 0, bool)
+        for r in self.earlier[i]:
+            mask[r["s"] : r["e"]] = True
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
+        return edges[::2], edges[1::2]
+
+
+def _spans_of_batches(batches, limit: int) -> Iterator[list[Hits]]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(Hits(batch))
+        size += batch.nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _found(batches, blocks: list, window: int) -> Iterator[Hits]:
+    """Batches past all blocks. With one block no batch waits for another."""
+    for held in _spans_of_batches(batches, SPAN_BYTES if len(blocks) > 1 else 0):
+        for block in blocks:
+            machine = _automaton(block, window)
+            for hits in held:
+                hits.scan(machine)
+        yield from held
+
+
+def _scanned(blocks: list, window: int):
     def run(batches):
-        machine = automaton(block.value, window)
-        for batch in batches:
-            rows = list(_hits(batch, machine, window))
-            ranges = [[{"s": s, "e": e} for s, e in r] for _, _, r, _ in rows]
-            names = [n for n in batch.schema.names if n not in ("ranges", "found")]
-            arrays = [batch.column(n) for n in names]
-            arrays += [pa.array(ranges, RANGES), pa.array([f for *_, f in rows], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "ranges", "found"])
+        for hits in _found(batches, blocks, window):
+            names = [n for n in hits.batch.schema.names if n not in FOUND.fieldNames()]
+            ranges = [
+                [{"s": s, "e": e} for s, e in zip(*(x.tolist() for x in hits.ranges(i)))] for i in range(len(hits.values))
+            ]
+            arrays = [hits.batch.column(n) for n in names]
+            arrays += [pa.array(ranges, RANGES), pa.array([sorted(x) for x in hits.items], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, *FOUND.fieldNames()])
 
     return run
 
 
-def _judged(block, window: int, hit_share: int):
+def _judged(blocks: list, window: int, hit_share: int):
     def run(batches):
-        machine = automaton(block.value, window)
-        for batch in batches:
-            n_words, n_hit, items, spans = [], [], [], []
-            for text, n, ranges, found in _hits(batch, machine, window):
-                n_words.append(n)
-                n_hit.append(sum(e - s for s, e in ranges))
-                items.append(found)
-                spans.append([])
-                if ranges:
-                    starts, ends = word_offsets(text)
-                    spans[-1] = [{"start": starts[s], "end": ends[e - 1]} for s, e in ranges]
+        for hits in _found(batches, blocks, window):
+            n_hit, spans = [], []
+            for i, text in enumerate(hits.values):
+                first, end = hits.ranges(i)
+                n_hit.append(int((end - first).sum()))
+                spans.append(word_spans(text, first, end - 1) if len(first) else [])
             yield with_columns(
-                batch.select([n for n in batch.schema.names if n not in ("ranges", "found")]),
-                n_words=pa.array(n_words, pa.int64()),
+                hits.batch.select([n for n in hits.batch.schema.names if n not in FOUND.fieldNames()]),
+                n_words=pa.array(hits.n_words, pa.int64()),
                 n_hit=pa.array(n_hit, pa.int64()),
-                items=pa.array(items, pa.list_(pa.string())),
+                items=pa.array([sorted(x) for x in hits.items], pa.list_(pa.string())),
                 spans=pa.array(spans, SPANS),
                 contaminated=pa.array(
-                    [h > 0 and hit_share * h >= n for h, n in zip(n_hit, n_words)], pa.bool_()
+                    [h > 0 and hit_share * h >= n for h, n in zip(n_hit, hits.n_words)], pa.bool_()
                 ),
             )
 
@@ -213,7 +262,3 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
     """The rows of `docs` that are not contaminated, with their columns."""
     judged = decontaminate(docs, benchmark, carry=True, **options)
     return judged.where(~F.col("contaminated")).select("row.*")
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

@@ -42,12 +42,3 @@ def token_hashes(values: list[bytes], classes: np.ndarray = WORD_CLASS) -> tuple
         terms *= (place >> 10).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     sums = np.add.reduceat(terms, np.cumsum(lengths) - lengths)
     return splitmix(sums + lengths.astype(np.uint64)), counts
-
-
-def hash_of(token: bytes) -> int:
-    return int(token_hashes([token])[0][0])
-
-
-def combine(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """A hash of ordered pairs of hashes."""
-    return splitmix(first * np.uint64(0x9E3779B97F4A7C15) + (second ^ np.uint64(0xD6E8FEB86659FD93)))

@@ -19,6 +19,7 @@ from lanewise.llm import (
     sharding,
     simhash,
     token_store,
+    word_automaton,
 )
 from tests.llm import brute
 
@@ -163,11 +164,40 @@ def test_pipeline(spark, docs):
 
 
 def test_benchmark_in_blocks(spark, docs, monkeypatch):
-    """A benchmark larger than one automaton gives the same hits."""
+    """A benchmark larger than one automaton or one round, and pieces of items, give the same hits."""
     table, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     wanted = sorted(map(str, decontaminate.decontaminate(table, bench).collect()))
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2_000)
     assert sorted(map(str, decontaminate.decontaminate(table, bench).collect())) == wanted
+    monkeypatch.setattr(decontaminate, "ROUND_BLOCKS", 2)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 10_000)
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 20)
+    assert sorted(map(str, decontaminate.decontaminate(table, bench).collect())) == wanted
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 13])
+def test_word_automaton(window, monkeypatch):
+    """All occurrences, nested ones included, as brute force finds them, in few and many lanes."""
+    rng = np.random.default_rng(window)
+    monkeypatch.setattr(word_automaton, "PIECE_BYTES", 50)
+    for trial in range(30):
+        letters = np.array(list("abcdefghijk"))[: rng.integers(2, 11) + 1]
+        items = [rng.choice(letters[:-1], rng.integers(0, 25)).tolist() for _ in range(rng.integers(0, 6))]
+        text = rng.choice(letters, rng.integers(0, 900)).tolist()
+        wanted = set()
+        for name, item in enumerate(items):
+            size = min(window, len(item))
+            for i in range(len(item) - size + 1 if size else 0):
+                found = (j for j in range(len(text) - size + 1) if text[j : j + size] == item[i : i + size])
+                wanted |= {(j + size - 1, size, name) for j in found}
+        machine = word_automaton.Automaton([(i, " ".join(t).encode()) for i, t in enumerate(items)], window)
+        ends, nodes = machine.occurrences(machine.ids(" ".join(text).encode()))
+        got = {
+            (end, depth, name)
+            for end, node, depth in zip(ends.tolist(), nodes.tolist(), machine.depth(nodes).tolist())
+            for name in machine.items_of(node).tolist()
+        }
+        assert got == wanted
 
 
 def test_simhash_cells_and_blocks(spark, monkeypatch):
