@@ -112,29 +112,32 @@ def contamination(texts, items, window=13):
     return out
 
 
-def bigram_scores(ids, texts, discount=0.75):
+def trigram_scores(ids, texts, discount=0.75):
     """(n_tokens, n_known, train_tokens, base_score, score) per text."""
     docs = [lowered(t).split() for t in texts]
-    one, two, before = collections.Counter(), collections.Counter(), collections.Counter()
+    counts, before = [collections.Counter() for _ in range(3)], collections.Counter()
     for doc_id, w in zip(ids, docs):
         if doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10:
-            one.update([*w, None])
-            pairs = list(zip([0, *w], [*w, None]))
-            two.update(pairs)
-            before.update(x for x, _ in pairs)
-    n, v = sum(one.values()), len(one)
-    following = collections.Counter(x for x, _ in two)
+            tokens = [0, *w, None]
+            for order in (1, 2, 3):
+                grams = [tuple(tokens[i : i + order]) for i in range(order == 1, len(tokens) - order + 1)]
+                counts[order - 1].update(grams)
+                before.update(g[:-1] for g in grams)
+    one, n, v = counts[0], sum(counts[0].values()), len(counts[0])
+    following = collections.Counter(g[:-1] for c in counts[1:] for g in c)
     out = []
     for w in docs:
-        tokens, base, score = [*w, None], 0.0, 0.0
-        for x, y in zip([0, *w], tokens):
-            p = (one[y] + 0.1) / (n + 0.1 * (v + 1))
+        tokens, base, score = [0, *w, None], 0.0, 0.0
+        for i in range(1, len(tokens)):
+            p = (one[tokens[i],] + 0.1) / (n + 0.1 * (v + 1))
             base += math.log10(p)
-            if before[x]:
-                own = max(two[x, y] - discount, 0) / before[x]
-                p = own + discount * following[x] / before[x] * p
+            for order in (2, 3) if i > 1 else (2,):
+                gram = tuple(tokens[i - order + 1 : i + 1])
+                if before[gram[:-1]]:
+                    own = max(counts[order - 1][gram] - discount, 0) / before[gram[:-1]]
+                    p = own + discount * following[gram[:-1]] / before[gram[:-1]] * p
             score += math.log10(p)
-        out.append((len(tokens), sum(one[y] > 0 for y in tokens), n, base, score))
+        out.append((len(tokens) - 1, sum(one[y,] > 0 for y in tokens[1:]), n, base, score))
     return out
 
 

@@ -13,12 +13,14 @@ from lanewise.llm import (
     decontaminate,
     importance,
     langid,
+    language_model,
     manifest,
     mixing,
     queries,
     sharding,
     simhash,
     token_store,
+    units,
     word_automaton,
 )
 from tests.llm import brute
@@ -120,7 +122,7 @@ def test_substrings(spark, docs):
 
 def test_language_model(spark, docs):
     got = by_id(spark, "op8_language_model")
-    for doc_id, wanted in zip(docs.doc_id, brute.bigram_scores(docs.doc_id.tolist(), docs.text)):
+    for doc_id, wanted in zip(docs.doc_id, brute.trigram_scores(docs.doc_id.tolist(), docs.text)):
         row = got[doc_id]
         assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == wanted[:3]
         assert row["base_score"] == pytest.approx(wanted[3], rel=1e-9)
@@ -128,6 +130,20 @@ def test_language_model(spark, docs):
         assert abs(row["score"] - wanted[4]) <= 0.03 * row["n_tokens"]
 
 
+def test_language_model_in_buckets(spark, docs, monkeypatch):
+    """Many units and buckets, with contexts dealt by their next words, score alike."""
+    table = spark.read.parquet(f"{SMALL}/documents.parquet")
+    monkeypatch.setattr(units, "BUCKET_KEYS", 3_000)
+    units_of = units.store_units
+    monkeypatch.setattr(units, "store_units", lambda *args: units_of(*args, unit_bytes=100_000))
+    got = {r["doc_id"]: r for r in language_model.score_texts(table).collect()}
+    for doc_id, wanted in zip(docs.doc_id, brute.trigram_scores(docs.doc_id.tolist(), docs.text)):
+        row = got[doc_id]
+        assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == wanted[:3]
+        assert row["base_score"] == pytest.approx(wanted[3], rel=1e-9)
+        assert abs(row["score"] - wanted[4]) <= 0.03 * row["n_tokens"]
+
+
 def test_decontamination(spark, docs):
     items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     got = by_id(spark, "op9_decontaminate")
