@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.llm import units
-from lanewise.llm.common import LOWER, splitmix
+from lanewise.llm.common import LOWER, in_chunks, splitmix
 from lanewise.llm.elias_fano import EliasFano
 from lanewise.llm.hashing import token_hashes
 
@@ -43,15 +43,31 @@ def is_held_out(doc_id, modulus: int = 10) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % modulus == 0
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and each value's place among them."""
+    distinct, place = np.unique(values, return_inverse=True)
+    return distinct, place.astype(np.int32)
+
+
+def _numbered_pairs(first: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First parts and words of the distinct pairs in order, and each pair's place."""
+    pairs, place = _numbered(first.astype(np.uint64) << np.uint64(32) | word)
+    return (pairs >> np.uint64(32)).astype(np.int32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32), place
+
+
 class Grams:
     """The bigrams of a unit: each word, and the end of each text, after what precedes it; and
     its trigrams: each token but a text's first, after the bigram that precedes it."""
 
     def __init__(self, values: list[bytes], trigrams: bool = True):
-        words, counts = token_hashes([v.translate(LOWER) for v in values])
+        # A few texts at a time: hashing takes some 30 bytes for each byte of text.
+        hashed = [token_hashes([v.translate(LOWER) for v in values[a:b]]) for a, b in in_chunks(values)]
+        words = np.concatenate([w for w, _ in hashed] or [np.empty(0, np.uint64)])
+        counts = np.concatenate([c for _, c in hashed] or [np.empty(0, np.int64)])
+        del hashed
         self.sizes = counts + 1
         ends = np.cumsum(self.sizes)
-        self.owner = np.repeat(np.arange(len(values)), self.sizes)
+        self.owner = np.repeat(np.arange(len(values), dtype=np.int32), self.sizes)
         n = len(words) + len(values)
         self.is_end = np.zeros(n, bool)
         self.is_end[ends - 1] = True
@@ -59,18 +75,16 @@ class Grams:
         current[~self.is_end] = words
         before = np.full(n, START)
         before[1:][~self.is_end[:-1]] = words
-        self.contexts, self.context = np.unique(before, return_inverse=True)
-        pairs = self.context.astype(np.uint64) << np.uint64(32) | (current & np.uint64(0xFFFFFFFF))
-        self.pairs, self.pair = np.unique(pairs, return_inverse=True)
-        self.pair_context = (self.pairs >> np.uint64(32)).astype(np.int64)
-        self.pair_word = (self.pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        del words
+        # The low half of a hash tells next words apart; places are below 2^32 in a unit.
+        current = (current & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        self.contexts, self.context = _numbered(before)
+        later = np.flatnonzero(before != START).astype(np.int32) if trigrams else None
+        del before
+        self.pair_context, self.pair_word, self.pair = _numbered_pairs(self.context, current)
         if trigrams:
-            self.later = np.flatnonzero(before != START)
-            self.before = self.pair[self.later - 1]
-            keys = self.before.astype(np.uint64) << np.uint64(32) | (current[self.later] & np.uint64(0xFFFFFFFF))
-            thirds, self.third = np.unique(keys, return_inverse=True)
-            self.third_pair = (thirds >> np.uint64(32)).astype(np.int64)
-            self.third_word = (thirds & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            self.later, self.before = later, self.pair[later - 1]
+            self.third_pair, self.third_word, self.third = _numbered_pairs(self.before, current[later])
 
     def by_bucket(self, buckets: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs in the order of their buckets, and where each bucket begins.
@@ -86,8 +100,8 @@ class Grams:
     def thirds_by_bucket(self, order: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Trigrams in the order of their bigrams, where each bucket begins, and how many each
         bigram has."""
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         fans = np.bincount(self.third_pair, minlength=len(order)).astype(np.uint32)
         upto = np.concatenate(([0], np.cumsum(fans[order], dtype=np.int64)))
         return np.argsort(rank[self.third_pair], kind="stable"), upto[edges], fans
@@ -112,7 +126,7 @@ def ask(table: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
                 grams = Grams(units.unpacked(row["texts"], row["sizes"]))
                 learn = ~np.array([is_held_out(i) for i in row["doc_ids"]], bool)
                 learn = learn[grams.owner]
-                counts = np.bincount(grams.pair[learn], minlength=len(grams.pairs))
+                counts = np.bincount(grams.pair[learn], minlength=len(grams.pair_word))
                 order, edges = grams.by_bucket(buckets, frequent)
                 third_order, third_edges, fans = grams.thirds_by_bucket(order, edges)
                 third_counts = np.bincount(grams.third[learn[grams.later]], minlength=len(grams.third_word))
@@ -261,25 +275,22 @@ def answer(asked: pa.Table, total: int, frequent: np.ndarray) -> pa.Table:
     sizes = [np.frombuffer(r["sizes"], np.uint32) for r in rows]
     words = np.concatenate([np.frombuffer(r["words"], np.uint32) for r in rows])
     counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
-    distinct, where = np.unique(np.concatenate(contexts), return_inverse=True)
-    context = np.repeat(where, np.concatenate(sizes)).astype(np.uint64)
-    pairs, pair = np.unique(context << np.uint64(32) | words, return_inverse=True)
+    distinct, where = _numbered(np.concatenate(contexts))
+    context = np.repeat(where, np.concatenate(sizes))
+    pair_context, pair_word, pair = _numbered_pairs(context, words)
     del context, words
-    sums = np.bincount(pair, counts, len(pairs))
-    pair_context = (pairs >> np.uint64(32)).astype(np.int64)
-    pair_word = (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    sums = np.bincount(pair, counts, len(pair_word))
     seen = sums > 0
     trained, rank = np.unique(pair_context[seen], return_inverse=True)
 
     fans = np.concatenate([np.frombuffer(r["fans"], np.uint32) for r in rows])
     thirds = np.concatenate([np.frombuffer(r["thirds"], np.uint32) for r in rows])
-    counts = np.concatenate([np.frombuffer(r["third_counts"], np.uint32) for r in rows])
-    triples, triple = np.unique(np.repeat(pair, fans).astype(np.uint64) << np.uint64(32) | thirds, return_inverse=True)
     third_first = np.cumsum([0] + [len(r["thirds"]) // 4 for r in rows])
+    third_pair, third_word, triple = _numbered_pairs(np.repeat(pair, fans), thirds)
     del thirds, fans
-    third_sums = np.bincount(triple, counts, len(triples))
-    third_pair = (triples >> np.uint64(32)).astype(np.int64)
-    third_word = (triples & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    counts = np.concatenate([np.frombuffer(r["third_counts"], np.uint32) for r in rows])
+    third_sums = np.bincount(triple, counts, len(third_word))
+    del counts
     third_seen = third_sums > 0
     # Texts to learn from give a trigram and the bigram before it alike, so the bigram is seen.
     place = np.cumsum(seen) - 1
@@ -336,8 +347,8 @@ def scored(unit: pa.Table, answers: pa.Table, model: dict) -> pa.Table:
         order, edges = grams.by_bucket(model["buckets"], model["frequent"])
         third_order, third_edges, _ = grams.thirds_by_bucket(order, edges)
         totals = np.zeros(len(grams.contexts), np.int64)
-        n_next, codes = np.zeros_like(totals), np.zeros(len(grams.pairs), np.uint8)
-        rests, third_codes = np.ones(len(grams.pairs), np.float32), np.zeros(len(grams.third_word), np.uint8)
+        n_next, codes = np.zeros_like(totals), np.zeros(len(grams.pair_word), np.uint8)
+        rests, third_codes = np.ones(len(grams.pair_word), np.float32), np.zeros(len(grams.third_word), np.uint8)
         for a in told:
             part = order[edges[a["bucket"]] : edges[a["bucket"] + 1]]
             contexts, _ = runs_of(grams.pair_context[part])
