@@ -446,7 +446,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     table = units.store_units(docs, id_col, text_col, "lm-units")
     words = table.agg(F.sum("n_words")).first()[0] or 0
-    buckets = units.buckets_for(2 * words)  # a bigram and a trigram per word
+    # A bigram and a trigram per word, and half the keys, as a bucket also holds its trie.
+    buckets = units.buckets_for(4 * words)
     frequent, ends, total = survey(table, buckets)
     answers = units.stored(
         ask(table, buckets, frequent)
