@@ -10,7 +10,7 @@ Money adds up over lines, so it is kept per month and per day in cells of the fi
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -20,24 +20,44 @@ from pyspark.sql import functions as F
 
 from lanewise.functions.columns import ARRIVED, not_on_time, order_outcome
 from lanewise.functions.reshape import roll_up_dimensions
-from lanewise.operators.slices import order_lines
+from lanewise.operators.features import LINE_ORDER_COLUMNS
 
 #: Orders in one bitmap: what the bitmap functions hold in their 4,096 bytes.
 BUCKET_BITS = 15
+#: Lines that one task groups to orders, about.
+LINES_AT_ONCE = 250_000
 FILTERS = ("city", "category", "carrier")
 CELL = (*FILTERS, "segment")
 #: Order columns with one bitmap per value. Lanes have two values.
 VALUES = ("order_month", "day", "city", "carrier", "ship_to_city", "outcome", "late_days")
 KEY = ("dimension", "value", "value2")
+#: Equal on all lines of an order.
+ORDER_COLUMNS = (*LINE_ORDER_COLUMNS, "evaluable_delivery")
+BY_CUSTOMER = ("customer_id", "order_id")
 
 
 # building ----------------------------------------------------------------------------
 
 
-def order_profiles(lines: DataFrame) -> DataFrame:
-    """One row per order with the columns that reports filter, group or count by."""
+def cube_lines(lines: DataFrame) -> DataFrame:
+    """The columns of the lines that the cube is built from. To be stored next."""
+    return lines.select(*ORDER_COLUMNS, "category", "gmv_line")
+
+
+def line_tasks(n_lines: int) -> int:
+    """Ranges to cut the lines into, so that a task groups few enough to do it in memory."""
+    return max(1, n_lines // LINES_AT_ONCE)
+
+
+def order_profiles(lines: DataFrame, tasks: int) -> DataFrame:
+    """One row per order with the columns that reports filter, group or count by, and its
+    categories, in partitions that are ranges of customer and order."""
     late = F.col("evaluable_delivery") & not_on_time(F.col("delivery_status"))
-    return order_lines(lines.where(F.col("order_id").isNotNull())).select(
+    # Grouping on more columns keeps to this exchange, and so does the order of `in_order`.
+    ranged = lines.where(F.col("order_id").isNotNull()).repartitionByRange(tasks, *BY_CUSTOMER)
+    # Distinct rows first; a struct keeps a null among the categories.
+    orders = ranged.select(*ORDER_COLUMNS, "category").distinct().groupBy(*ORDER_COLUMNS)
+    return orders.agg(F.collect_list(F.struct("category")).alias("categories")).select(
         "order_id",
         "customer_id",
         "order_month",
@@ -51,12 +71,13 @@ def order_profiles(lines: DataFrame) -> DataFrame:
         F.coalesce(late, F.lit(False)).alias("delayed"),
         F.coalesce(F.col("delivery_status").isin(*ARRIVED), F.lit(False)).alias("arrived"),
         F.col("customer_id").isNotNull().alias("known"),
+        "categories",
     )
 
 
 def in_order(profiles: DataFrame) -> DataFrame:
     """The profiles by customer, with each row's place in its partition. To be stored next."""
-    return profiles.orderBy("customer_id", "order_id").select(
+    return profiles.sortWithinPartitions(*BY_CUSTOMER).select(
         "*", F.monotonically_increasing_id().alias("at")
     )
 
@@ -81,49 +102,55 @@ def number_orders(placed: DataFrame) -> DataFrame:
     )
 
 
-def dimension_bitmaps(orders: DataFrame, lines: DataFrame) -> DataFrame:
+def bucket_tasks(n_orders: int) -> int:
+    """Tasks to deal the buckets to, so that each gets about two however many there are."""
+    return max(1, n_orders >> BUCKET_BITS + 1)
+
+
+def dimension_bitmaps(orders: DataFrame, tasks: int) -> DataFrame:
     """`dimension, value, value2, bucket, bits`: the orders of each value, nulls being a value.
 
     An order has one value of each dimension but the category, where it has those of its lines.
+    Bitmaps are built from rows that lie together by bucket: every bitmap in one task, which
+    sorts the rows of a few buckets, and none is moved.
     """
 
     def entry(dimension: str, value: Column, value2: Column) -> Column:
         columns = F.lit(dimension), value.cast("string"), value2.cast("string")
         return F.struct(*[c.alias(name) for c, name in zip(columns, KEY)])
 
-    entries = [entry(c, F.col(c), F.lit(None)) for c in VALUES]
+    nothing = F.lit(None)
+    entries = [entry(c, F.col(c), nothing) for c in VALUES]
     entries.append(entry("lane", F.col("carrier"), F.col("ship_to_city")))
-    own = orders.select("bucket", "bit", F.inline(F.array(*entries)))
-    categories = (
-        lines.select("order_id", "category")
-        .distinct()
-        .join(orders.select("order_id", "bucket", "bit"), "order_id")
-        .select(
-            "bucket",
-            "bit",
-            F.lit("category").alias("dimension"),
-            F.col("category").alias("value"),
-            F.lit(None).cast("string").alias("value2"),
-        )
-    )
-    rows = own.where("dimension <> 'late_days' OR value IS NOT NULL").unionByName(categories)
-    return rows.groupBy(*KEY, "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    categories = F.transform("categories", lambda c: entry("category", c["category"], nothing))
+    dealt = orders.select("bucket", "bit", *VALUES, "categories").repartition(tasks, "bucket")
+    rows = dealt.select("bucket", "bit", F.inline(F.concat(F.array(*entries), categories)))
+    rows = rows.where("dimension <> 'late_days' OR value IS NOT NULL")
+    bitmaps = rows.groupBy(*KEY, "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    # As the aggregate leaves them: readers skip the pages of other dimensions and values.
+    return bitmaps.sortWithinPartitions(*KEY, "bucket")
 
 
-def order_bitmaps(orders: DataFrame) -> DataFrame:
+def order_bitmaps(orders: DataFrame, tasks: int) -> DataFrame:
     """Per bucket the bitmaps of all orders, of their flags and of each customer's first order,
     and how many customers begin in earlier buckets."""
 
     def bits(condition: str) -> Column:
         return F.expr(f"bitmap_construct_agg(bit) FILTER (WHERE {condition})").alias(condition)
 
-    flags = orders.groupBy("bucket").agg(
+    names = "evaluable", "delayed", "arrived", "known"
+    dealt = orders.select("bucket", "bit", *names).repartition(tasks, "bucket")
+    flags = dealt.groupBy("bucket").agg(
         F.bitmap_construct_agg("bit").alias("orders"),
-        *[bits(c) for c in ("evaluable", "delayed", "arrived", "known")],
+        *[bits(c) for c in names],
+    )
+    number = F.shiftleft("bucket", BUCKET_BITS) + F.col("bit")
+    first = orders.groupBy("customer_id").agg(F.min(number).alias("first")).select(
+        F.shiftright("first", BUCKET_BITS).alias("bucket"),
+        F.col("first").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).alias("bit"),
     )
-    first = orders.groupBy("customer_id").agg(F.min(F.struct("bucket", "bit")).alias("first"))
-    starts = first.groupBy("first.bucket").agg(
-        F.bitmap_construct_agg("first.bit").alias("starts"), F.count(F.lit(1)).alias("n")
+    starts = first.repartition(tasks, "bucket").groupBy("bucket").agg(
+        F.bitmap_construct_agg("bit").alias("starts"), F.count(F.lit(1)).alias("n")
     )
     # One row per bucket.
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -148,24 +175,32 @@ def monthly(cells: DataFrame) -> DataFrame:
 # bit operations ----------------------------------------------------------------------
 
 
-def count_in(n: int) -> Callable[..., Column]:
-    """A function of n bitmaps: the bits that all have. Spark has AND as an aggregate only.
+def common_counts(rows: DataFrame) -> DataFrame:
+    """Per row of `KEY, bits, slice, evaluable, delayed` how many bits the value has in common
+    with the slice, and with its flags. Spark has AND as an aggregate only.
 
     Functions that run on executors are defined inside, so that these need not have the package.
     """
+    key, names = KEY, ("bits", "slice", "evaluable", "delayed")
 
-    def common(arrays: Sequence[pa.Array]) -> pa.Array:
-        words = [np.frombuffer(b"".join(a.to_pylist()), np.uint64) for a in arrays]
-        rows = reduce(np.bitwise_and, words).reshape(len(arrays[0]), -1)
-        return pa.array(np.bitwise_count(rows).sum(axis=1, dtype=np.int64))
-
-    def two(a: pa.Array, b: pa.Array) -> pa.Array:
-        return common((a, b))
-
-    def three(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
-        return common((a, b, c))
-
-    return F.arrow_udf({2: two, 3: three}[n], "long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            joined = [b"".join(batch.column(c).to_pylist()) for c in names]
+            bits, chosen, *flags = [
+                np.frombuffer(b, np.uint64).reshape(batch.num_rows, -1) for b in joined
+            ]
+            common = bits & chosen
+            counts = [
+                pa.array(np.bitwise_count(words).sum(axis=1, dtype=np.int64))
+                for words in (common, *[common & flag for flag in flags])
+            ]
+            columns = [*[batch.column(c) for c in key], *counts]
+            yield pa.RecordBatch.from_arrays(columns, [*key, "orders", "evaluable", "delayed"])
+
+    schema = ", ".join(f"{c} string" for c in KEY) + ", orders long, evaluable long, delayed long"
+    return rows.select(*KEY, *names).mapInArrow(run, schema)
 
 
 def customers_in(groups: DataFrame) -> DataFrame:
@@ -289,23 +324,14 @@ def slice_counts(bitmaps: DataFrame, chosen: DataFrame) -> DataFrame:
 
     The dimension `all` has the slice as a whole.
     """
-    two, three = count_in(2), count_in(3)
-    counts = {
-        "orders": two("bits", "slice"),
-        "evaluable": three("bits", "slice", "evaluable"),
-        "delayed": three("bits", "slice", "delayed"),
-    }
     columns = "bucket", "slice", "evaluable", "delayed"
     per_value = bitmaps.where("dimension NOT IN ('day', 'city')").join(chosen.select(*columns), "bucket")
     nothing = F.lit(None).cast("string")
     whole = chosen.select(*columns, F.lit("all").alias("dimension"), F.col("orders").alias("bits"))
     whole = whole.withColumns({"value": nothing, "value2": nothing})
-    return (
-        per_value.unionByName(whole)
-        .select(*KEY, *[count.alias(name) for name, count in counts.items()])
-        .groupBy(*KEY)
-        .agg(*[F.sum(name).alias(name) for name in counts])
-    )
+    rows = per_value.select(*KEY, "bits", *columns[1:]).unionByName(whole.drop("bucket"))
+    counts = "orders", "evaluable", "delayed"
+    return common_counts(rows).groupBy(*KEY).agg(*[F.sum(name).alias(name) for name in counts])
 
 
 def slice_customers(bitmaps: DataFrame, chosen: DataFrame) -> DataFrame:

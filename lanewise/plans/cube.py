@@ -36,12 +36,15 @@ class SliceCube:
         def write(name: str, df: DataFrame, *cluster_by: str) -> DataFrame:
             return write_mart(df, out_dir, name, cluster_by)
 
-        placed = write("cube_placed", cube.in_order(cube.order_profiles(lines)))
-        numbered = write("cube_numbers", cube.number_orders(placed))
-        days = write("cube_days", cube.money_cells(lines), "day", *cube.CELL)
+        # The lines are joined once, the orders laid out by customer once.
+        stored = write("cube_lines", cube.cube_lines(lines))
+        profiles = cube.order_profiles(stored, cube.line_tasks(stored.count()))
+        placed = write("cube_placed", cube.in_order(profiles))
+        numbered, tasks = cube.number_orders(placed), cube.bucket_tasks(placed.count())
+        days = write("cube_days", cube.money_cells(stored), "day", *cube.CELL)
         return cls(
-            write("cube_bitmaps", cube.dimension_bitmaps(numbered, lines), *cube.KEY, "bucket"),
-            write("cube_orders", cube.order_bitmaps(numbered)),
+            write("cube_bitmaps", cube.dimension_bitmaps(numbered, tasks)),
+            write("cube_orders", cube.order_bitmaps(numbered, tasks)),
             write("cube_months", cube.monthly(days)),
             days,
         )

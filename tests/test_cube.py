@@ -9,6 +9,7 @@ from lanewise.operators import cube, slices
 from lanewise.plans.cube import SliceCube, cube_dashboard
 from lanewise.plans.dashboard import reports
 from lanewise.schemas import PROMISE_SUMMARY
+from lanewise.sources.marts import shared_folder, write_mart
 from tests.fixtures import rows
 
 FILTERS = [
@@ -102,6 +103,37 @@ def test_bitmaps_hold_whole_customers_in_order(lines, published):
     assert starts == lines.select("customer_id").distinct().count()
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_computed_once(spark, lines, tmp_path, monkeypatch):
+    """Everything but the stored lines is built from tables that were stored before."""
+    from lanewise.plans import cube as plan
+
+    plans, write = {}, plan.write_mart
+
+    def recorded(df, out_dir, name, *rest):
+        plans[name] = plan_of(df)
+        return write(df, out_dir, name, *rest)
+
+    monkeypatch.setattr(plan, "write_mart", recorded)
+    SliceCube.publish(lines.where("order_id < 3000"), str(tmp_path))
+    assert {name for name, text in plans.items() if "Range (0, 70000" in text} == {"cube_lines"}
+
+
+def test_bitmaps_are_built_where_their_orders_lie(spark, lines):
+    """Orders are dealt by bucket, a few buckets to a task; no bitmap is moved, or merged with
+    others of its bucket. Lines are grouped in as many tasks as their number asks for."""
+    placed = cube.in_order(cube.order_profiles(lines.where("order_id < 3000"), 3))
+    numbered = cube.number_orders(write_mart(placed, shared_folder(spark, "cube"), "placed"))
+    plan = plan_of(cube.dimension_bitmaps(numbered, 2)).split("BroadcastExchange")[0]
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(bucket" in plan
+    assert "rangepartitioning(customer_id" in plan_of(placed) and plan_of(placed).count("Exchange ") == 1
+    assert cube.bucket_tasks(54_000_000) >= 54_000_000 / (1 << cube.BUCKET_BITS) / 2 - 1
+    assert (cube.line_tasks(10), cube.line_tasks(216_000_000)) == (1, 864)
+
+
 def test_ends_of_a_range():
     edges = cube._edge_months
     assert edges(dt.date(2024, 2, 1), dt.date(2024, 2, 29)) == []
