@@ -10,29 +10,42 @@ from pyspark.sql import functions as F
 
 from lanewise.sources.marts import shared_folder, write_mart
 
-#: Groups that a task remembers, at first, and by how much more in the next round.
+#: Groups that a task remembers, at first, by how much more in the next round, and at most. A
+#: task holds up to three times as many, so this bounds its memory whatever the data.
 CAPACITY = 10_000
 GROWTH = 8
+MOST = 80_000
 
 
 def _summaries(rows: DataFrame, capacity: int) -> DataFrame:
     """Per task: its largest groups with a lower bound of their sums, and, in a row without a
     key, how much any one group may have lost.
 
-    A task adds up batch by batch and drops the smallest groups whenever it holds twice its
-    capacity. A dropped group had at most the largest sum dropped with it.
+    A task adds up its rows, as many at a time as its capacity, and drops the smallest groups
+    whenever it holds twice its capacity. A dropped group had at most the largest sum dropped
+    with it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, missed = None, 0.0
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
+        held, new, missed = None, [], 0.0
+
+        def add_up() -> None:
+            nonlocal held, missed
+            table = pa.Table.from_batches(new)
+            new.clear()
             held = table if held is None else pa.concat_tables([held, table])
             held = held.group_by("key").aggregate([("weight", "sum")]).rename_columns(["key", "weight"])
             if len(held) > 2 * capacity:
                 held = held.sort_by([("weight", "descending")])
                 missed += held["weight"][capacity].as_py()
                 held = held.slice(0, capacity).combine_chunks()
+
+        for batch in batches:
+            new.append(batch)
+            if sum(map(len, new)) >= capacity:
+                add_up()
+        if new:
+            add_up()
         if held is not None:
             last = pa.table({"key": pa.array([None], pa.string()), "weight": pa.array([missed])})
             yield from pa.concat_tables([held, last]).to_batches()
@@ -48,8 +61,9 @@ def top_groups(
     Tasks send summaries of bounded size. Merged, they give every group a lower bound, and an
     upper one that is higher by what all tasks may have dropped. Groups whose upper bound
     reaches the k-th lower bound are the candidates; their rows are summed up in whole. If
-    even a group that no task kept might reach it, the next round remembers more groups.
-    Groups too alike to be told apart so end up all as candidates, as in a plain grouping.
+    even a group that no task kept might reach it, the next round remembers more groups, up to
+    `MOST`. Groups too alike to be told apart by then are all summed up, in a plain grouping
+    whose state Spark can spill.
 
     Ties go by the keys. Null keys are a group, null weights are left out.
     """
@@ -66,8 +80,11 @@ def top_groups(
         # Sums of doubles in another order differ in their last digits.
         reach = (first[0] or 0.0) * (1 - 1e-9) if first[1] == k else 0.0
         if not missed or missed * (1 + 1e-9) < reach:
+            candidates = lower.where(F.col("lower") + missed * (1 + 1e-9) >= reach).select(F.col("key").alias("_key"))
+            whole = rows.withColumn("_key", name).join(candidates, "_key", "left_semi")
             break
         capacity *= GROWTH
-    candidates = lower.where(F.col("lower") + missed * (1 + 1e-9) >= reach).select(F.col("key").alias("_key"))
-    whole = rows.withColumn("_key", name).join(candidates, "_key", "left_semi")
+        if capacity > MOST:
+            whole = rows
+            break
     return whole.groupBy(*keys).agg(F.sum(weight).alias(weight)).orderBy(F.desc(weight), *keys).limit(k)

@@ -92,6 +92,28 @@ def test_top_groups(spark, capacity):
     assert got == [(*k, sums[k]) for k in wanted]
 
 
+def test_top_groups_that_are_alike(spark, monkeypatch):
+    """Tasks never remember more groups than the bound; what they cannot tell apart is grouped."""
+    capacities, summaries = [], top_k._summaries
+
+    def recorded(rows, capacity):
+        capacities.append(capacity)
+        return summaries(rows, capacity)
+
+    monkeypatch.setattr(top_k, "_summaries", recorded)
+    monkeypatch.setattr(top_k, "MOST", 40)
+    df = spark.range(6000).selectExpr(
+        "id * 7 % 3000 AS a", "cast(if(id % 3000 < 9, null, id % 2) AS int) AS b", "1.0 + id % 3 AS w"
+    )
+    got = [tuple(r) for r in top_k.top_groups(df.repartition(3), ["a", "b"], "w", 30, 5).collect()]
+    sums = {}
+    for r in df.collect():
+        sums[r["a"], r["b"]] = sums.get((r["a"], r["b"]), 0) + r["w"]
+    wanted = sorted(sums, key=lambda k: (-sums[k], k[0], k[1] is not None, k[1] or 0))[:30]
+    assert got == [(*k, sums[k]) for k in wanted]
+    assert capacities == [5, 40]
+
+
 def test_sketches_add_up(spark):
     lines = spark.range(60_000).selectExpr(
         "id % 20000 AS order_id", "id % 3000 AS customer_id", "cast(id % 12 AS string) AS order_month",
