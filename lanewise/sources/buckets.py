@@ -8,12 +8,17 @@ import re
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Stored bytes that one bucket of the largest mart holds, about; a bucket is read by one task.
+#: Bytes that one bucket of the largest mart holds, about; a bucket is written and read by one task.
 BUCKET_BYTES = 128 << 20
+#: Bytes of a mart in motion for a byte of its source files, about: files are encoded by column,
+#: and marts have columns that are computed from others.
+MOVED = 8
 MANIFEST = (
     T.StructType()
     .add("name", "string")
@@ -30,6 +35,15 @@ def buckets_for(size_bytes: int, at_least: int) -> int:
     return 1 << (wanted - 1).bit_length()
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a frame reads, from their listing; nothing is computed."""
+    files = [unquote(path) for path in df.inputFiles()]
+    if not files:
+        return 0
+    listed = df.sparkSession.read.format("binaryFile").load(files)
+    return listed.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
 @dataclass(frozen=True)
 class BucketedMarts:
     """Tables that are bucketed and sorted by one key, all with the same number of buckets.
@@ -45,8 +59,13 @@ class BucketedMarts:
     def write(
         cls, marts: Mapping[str, DataFrame], out_dir: str, key: str, buckets: int
     ) -> BucketedMarts:
-        """Write the marts by `key`. The rows of one key are in one bucket, however many."""
+        """Write the marts by `key`. The rows of one key are in one bucket, however many.
+
+        There are at least `buckets`, and more where the files that a mart is made from are
+        large, so that a bucket stays of one size while the marts grow.
+        """
         spark = next(iter(marts.values())).sparkSession
+        buckets = buckets_for(MOVED * max(input_bytes(df) for df in marts.values()), buckets)
         rows = []
         for name, df in marts.items():
             folder = posixpath.join(out_dir, name)

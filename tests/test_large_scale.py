@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from lanewise.functions import grouped_quantiles as gq
 from lanewise.operators import cohorts, intervals, metrics, sketches, table_diff, top_k
 from lanewise.schemas import ORDER_ITEMS
+from lanewise.sources import buckets
 from lanewise.sources.buckets import BucketedMarts, buckets_for
-from lanewise.sources.marts import shared_folder, write_mart
+from lanewise.sources.marts import shared_folder, size_on_storage, write_mart
 from lanewise.sources.readers import read_csv_checked, reading_counts
 from tests.fixtures import rows, ts
 
@@ -146,6 +147,23 @@ def test_bucketed_join_has_no_exchange_on_the_key(spark, tmp_path, monkeypatch):
     assert buckets_for(0, 3) == 4 and buckets_for(1 << 40, 8) == 8192
 
 
+def test_buckets_grow_with_the_sources(spark, tmp_path, monkeypatch):
+    """As many buckets as the files behind the marts ask for, the same for all marts."""
+    monkeypatch.setattr(buckets, "BUCKET_BYTES", 1 << 12)
+    source = str(tmp_path / "a source")
+    spark.range(3000).selectExpr("id % 900 AS k", "id AS v").repartition(2).write.parquet(source)
+    read = spark.read.parquet(source)
+    size = size_on_storage(spark, source)
+    assert buckets.input_bytes(read.groupBy("k").count()) == size > 4 * buckets.BUCKET_BYTES
+    marts = {"large": read, "small": spark.range(900).withColumnRenamed("id", "k")}
+    BucketedMarts.write(marts, str(tmp_path / "out"), "k", 2)
+    stored = BucketedMarts.open(spark, str(tmp_path / "out"))
+    joined = stored.table("large").hint("merge").join(stored.table("small"), "k")
+    assert joined.count() == 3000 and "hashpartitioning" not in plan_of(joined)
+    numbers = spark.read.parquet(str(tmp_path / "out" / "buckets")).select("buckets").distinct().collect()
+    assert [r[0] for r in numbers] == [buckets_for(buckets.MOVED * size, 2)] and numbers[0][0] > 4
+
+
 def test_rejected_records(spark, tmp_path):
     header = "order_item_id,order_id,product_id,seller_id,quantity,unit_price,discount_pct,platform_fee_pct,note"
     good = ["1,10,5,7,2,19.90,0.10,0.05,fine", '2,10,5,7,1,"1.5",0.10,0.05,"a ""b"", c"']
