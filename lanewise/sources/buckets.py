@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lanewise.functions.reshape import few_rows
+
 #: Bytes that one bucket of the largest mart holds, about; a bucket is written and read by one task.
 BUCKET_BYTES = 128 << 20
 #: Bytes of a mart in motion for a byte of its source files, about: files are encoded by column,
@@ -82,7 +84,7 @@ class BucketedMarts:
     def open(cls, spark: SparkSession, out_dir: str) -> BucketedMarts:
         """Put tables that another session has written into this session's catalog."""
         tables = {}
-        for r in spark.read.schema(MANIFEST).parquet(posixpath.join(out_dir, "buckets")).collect():
+        for r in few_rows(spark.read.schema(MANIFEST).parquet(posixpath.join(out_dir, "buckets"))):
             table = f"{_word(r['name'])}_{uuid.uuid4().hex}"
             fields = T.StructType.fromJson(json.loads(r["schema"]))
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanewise.functions.content import hash_sum, row_hash
+from lanewise.plans import publish
 from lanewise.plans.mart_set import MartSet, MartSetWriter, PublishConflict
 from lanewise.plans.publish import MARTS, publish_set, refresh_set
 from tests.fixtures import day, market, only, rows, table, ts
@@ -84,6 +85,38 @@ def test_refresh_and_readers(spark, before, after, tmp_path):
     assert "part" not in second.table("items_enriched").columns
 
 
+def test_a_part_of_many_rows_is_split(spark, tmp_path):
+    """Parts without columns to cluster by are dealt without a sample, a large one to several tasks."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64KB")
+    try:
+        out = MartSetWriter(spark, str(tmp_path))
+        part = F.when(F.col("id") % 50 > 0, "2024-01").when(F.col("id") % 3 > 0, "2024-02")
+        df = spark.range(200_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x"), part.alias("part"))
+        read = out.write("m", df.repartition(4))
+    finally:
+        spark.conf.set(name, before)
+    assert {e.part: e.n_rows for e in out.entries} == {"2024-01": 196_000, "2024-02": 2_666, "none": 1_334}
+    assert read.select("id").distinct().count() == 200_000
+    files = read.select("_metadata.file_path").distinct()
+    assert files.where(F.col("file_path").contains("2024-01")).count() > 2
+
+
+def test_marts_are_built_from_those_written(spark, before, tmp_path, monkeypatch):
+    plans, write = {}, publish.write_mart
+
+    def recorded(df, out_dir, name, *rest):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, out_dir, name, *rest)
+
+    monkeypatch.setattr(publish, "write_mart", recorded)
+    publish.publish_marts(before, str(tmp_path), LANES, 1, 1)
+    assert "Join" not in plans["q4_lane_scenarios"] + plans["q4_marketplace_summary"]
+    # The source tables are rows of the test, and only marts are files.
+    assert all("FileScan parquet" in plans[name] for name in ("b3_seller_carrier_city", "b3_lane_carrier_city"))
+
+
 def test_two_publishes_of_one_number(spark, before, tmp_path):
     root = str(tmp_path)
     writers = [MartSetWriter(spark, root) for _ in range(2)]
