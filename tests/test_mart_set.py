@@ -1,11 +1,14 @@
 """Mart sets: what readers see, refreshes against full publishes, content hashes."""
 
 from dataclasses import replace
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.functions.content import hash_sum, row_hash
+from catalog.star_adapter import earlier_market
+from lanewise.functions.content import hash_sum, row_hash, value_text
+from lanewise.operators import features
 from lanewise.plans import publish
 from lanewise.plans.mart_set import MartSet, MartSetWriter, PublishConflict
 from lanewise.plans.publish import MARTS, publish_set, refresh_set
@@ -141,3 +144,76 @@ def test_content_hash(spark):
     assert hashed(df) != hashed(df.distinct())
     assert hashed(df.withColumn("s", F.coalesce("s", F.lit("")))) != hashed(df)
     assert hashed(df.limit(0)) == 0
+
+
+def leaves(df):
+    return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_earlier_tables_come_from_one_pass(spark):
+    """Orders of the last days: 22 was under way, 24 had a copy too, 10 and 45 were only copies, 25 not there."""
+    new, old = ts("2001-07-20 10:00:00"), ts("2001-07-01 10:00:00")
+    orders = [dict(order_id=i, created_at=old if i == 3 else new) for i in (3, 22, 24, 25, 10, 45)]
+    source = market(
+        spark,
+        orders=orders,
+        items=[dict(order_id=i, quantity=2) for i in (3, 22, 24, 24, 25, 10, 45, 17)],
+        shipments=[shipment(i) for i in (3, 22, 24, 10)],
+    )
+    nulls = table(spark, "order_items", [dict(order_item_id=0, order_id=17)]).withColumn("order_id", F.lit(None).cast("long"))
+    source = replace(source, order_items=source.order_items.unionByName(nulls))
+    earlier, changed = earlier_market(source)
+    items = sorted((r["order_id"] or 0, r["order_item_id"], r["quantity"]) for r in rows(earlier.order_items))
+    assert items == [
+        (-45, -7, 2), (-24, -4, 2), (-24, -3, 2), (-10, -6, 2),
+        (0, 0, 1), (3, 1, 2), (17, 8, 2), (22, 2, 2), (24, 3, 2), (24, 4, 2),
+    ]
+    assert sorted((r["order_id"], r["status"]) for r in rows(earlier.orders)) == [
+        (-45, "Delivered"), (-24, "Delivered"), (-10, "Delivered"),
+        (3, "Delivered"), (22, "Shipped"), (24, "Shipped"),
+    ]
+    ships = sorted((r["order_id"], r["shipment_id"], r["delivery_status"]) for r in rows(earlier.shipments))
+    assert ships == [
+        (-24, -24, "OnTime"), (-10, -10, "OnTime"), (3, 3, "OnTime"), (22, 22, "InTransit"), (24, 24, "InTransit"),
+    ]
+    assert sorted(r[0] for r in changed.collect()) == [-45, -24, -10, 10, 22, 24, 25, 45]
+    # The tables themselves (items are two of the test's) and the last orders.
+    assert [leaves(df) for df in (earlier.order_items, earlier.shipments)] == [3, 2]
+
+
+def test_rollup_of_sellers_is_the_rollup(spark):
+    kinds = "order_id long, seller_id long, order_item_id long, quantity int, gmv_line decimal(23,2), gmv_after_disc decimal(29,4), platform_fee decimal(28,4)"
+    data = [(o, s, i, i % 3, Decimal(i), None if i % 4 else Decimal("0.5"), None) for i, (o, s) in enumerate(
+        [(1, 1), (1, 1), (1, 2), (2, None), (2, None), (3, 1), (None, 1), (None, None), (3, None), (1, 1)])]
+    items = spark.createDataFrame(data, kinds)
+    sellers = items.groupBy("order_id", "seller_id").agg(F.sum("gmv_line").alias("seller_gmv"))
+    was, now = features.order_rollup(items), features.order_rollup_of(items, sellers)
+    assert [(f.name, f.dataType) for f in now.schema] == [(f.name, f.dataType) for f in was.schema]
+    assert sorted(map(str, now.collect())) == sorted(map(str, was.collect()))
+
+
+def test_sums_join_shipments_to_orders_once(spark, before, tmp_path, monkeypatch):
+    plans, write = {}, MartSetWriter.write
+
+    def recorded(self, name, df, *rest, **more):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(self, name, df, *rest, **more)
+
+    monkeypatch.setattr(MartSetWriter, "write", recorded)
+    publish_set(before, str(tmp_path), LANES, 1, 1)
+    assert not any("Join" in plans[name] for name in ("lane_sums", "scenario_sums"))
+    # Amounts are worked out where the rows end up, and not carried there.
+    assert "gmv_after_disc" not in plans["items_enriched"]
+
+
+def test_amounts_as_text(spark):
+    """Scaled whole numbers, whether or not a double can hold them."""
+    for kind, texts in {
+        "decimal(12,2)": ["0.00", "-0.01", "9999999999.99", "0.05"],
+        "decimal(29,4)": ["99999999999.9999", "100000000000.0001", "-123456789012345678901.6789", "0.0003"],
+        "decimal(20,6)": ["0.000050", "-0.000050", "12345678901234.123456"],
+    }.items():
+        df = spark.createDataFrame([(Decimal(t),) for t in texts] + [(None,)], f"x {kind}")
+        found = [r[0] for r in df.select(value_text(df.x, df.schema["x"].dataType)).collect()]
+        exact = [str(int((Decimal(t) * 10_000).quantize(Decimal(1), rounding=ROUND_HALF_UP))) for t in texts]
+        assert found == [*exact, "~"]
